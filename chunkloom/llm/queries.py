@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import quality, toxicity, url_filter
+from chunkloom.llm import bpe, packing, quality, toxicity, url_filter
 from chunkloom.llm.common import read_table
 
 
@@ -18,12 +19,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    return bpe.encoded_digests(read_table(spark, sf_dir, "documents"), vocabulary_path or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"), vocabulary_path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_quality, op9_toxicity)}
+    return {f.__name__: f for f in (op2_url_filter, op3_quality, op7_bpe, op9_toxicity, op10_packing)}
 
 
 def _url_filter_sql() -> str:
