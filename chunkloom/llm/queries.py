@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import bpe, fingerprints, packing, quality, sharding, toxicity, url_filter
+from chunkloom.llm import bpe, fingerprints, packing, quality, sharding, simhash, toxicity, url_filter
 from chunkloom.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
     return bpe.encoded_digests(read_table(spark, sf_dir, "documents"), vocabulary_path or public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_components(read_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary_path: str | None =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_quality, op4_sharding, op5_fingerprints, op7_bpe, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op2_url_filter, op3_quality, op4_sharding, op5_fingerprints, op7_bpe, op8_simhash, op9_toxicity, op10_packing)}
 
 
 def _url_filter_sql() -> str:
