@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import bpe, fingerprints, packing, quality, sharding, simhash, toxicity, url_filter
+from chunkloom.llm import bpe, fingerprints, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 from chunkloom.llm.common import read_table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"))
 
@@ -44,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary_path: str | None =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_quality, op4_sharding, op5_fingerprints, op7_bpe, op8_simhash, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_quality, op4_sharding, op5_fingerprints, op7_bpe, op8_simhash, op9_toxicity, op10_packing)}
 
 
 def _url_filter_sql() -> str:
