@@ -31,7 +31,11 @@ LENGTH = 100
 GRAM = 24
 NO_ID = (1 << 63) - 1
 #: Bytes of text that are cut into suffixes together, and of suffixes that a bucket should hold.
-CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 32 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+#: Bytes of text hashed together: bounds the arrays of 8 bytes for each byte of text.
+PART_BYTES = 1 << 20
+#: Bits of a text's digest that tell apart rows of equal id.
+DIGEST_MASK = (1 << 24) - 1
 SAMPLES_PER_BUCKET = 200
 _HASH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 _PLACE_BITS = np.uint64(24)
@@ -65,27 +69,40 @@ class Suffixes:
         """As take, without the bytes."""
         return Suffixes(self.rows[:0], self.doc[at], self.digest[at], self.first[at], self.before[at], self.windows[at])
 
-    def pack(self) -> bytes:
-        columns = (self.rows, self.doc, self.digest, self.first, self.before, self.windows)
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    @staticmethod
+    def join(parts: list[Suffixes]) -> Suffixes:
+        return Suffixes(*(np.concatenate([getattr(p, name) for p in parts]) for name in ("rows", "doc", "digest", "first", "before", "windows")))
+
+    def pack(self, layout: Layout) -> bytes:
+        """Compressed; bytes that no window covers are left out, and numbers stand in planes of equal significance."""
+        column = np.arange(layout.width)
+        low = layout.left - self.before.astype(np.int64)
+        body = self.rows[(column >= low[:, None]) & (column < (low + self.windows + layout.length - 1)[:, None])]
+        planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T) for c, k in ((self.doc, 8), (self.digest, 3), (self.first, 4))]
+        return zstandard.ZstdCompressor(level=5).compress(b"".join(c.tobytes() for c in (*planes, self.before, self.windows, body)))
 
     @staticmethod
-    def unpack(blobs: list[tuple[int, bytes]], width: int) -> Suffixes:
-        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-        reader = zstandard.ZstdDecompressor()
+    def unpack(blobs: list[tuple[int, bytes]], layout: Layout) -> Suffixes:
+        reader, parts = zstandard.ZstdDecompressor(), []
         for n, blob in blobs:
-            raw, at = reader.decompress(blob), 0
-            for i, (kind, size) in enumerate(((np.uint8, n * width), (np.int64, n), (np.int64, n), (np.int64, n), (np.uint8, n), (np.uint8, n))):
-                columns[i].append(np.frombuffer(raw, kind, size, at))
-                at += columns[i][-1].nbytes
-        joined = [np.concatenate(c) for c in columns]
-        return Suffixes(joined[0].reshape(-1, width), *joined[1:])
+            raw, at, numbers = np.frombuffer(reader.decompress(blob), np.uint8), 0, []
+            for k in (8, 3, 4):
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, :k] = raw[at : at + n * k].reshape(k, n).T
+                numbers.append(wide.view("<i8").ravel())
+                at += n * k
+            before, windows = raw[at : at + n], raw[at + n : at + 2 * n]
+            rows, column = np.zeros((n, layout.width), np.uint8), np.arange(layout.width)
+            low = layout.left - before.astype(np.int64)
+            rows[(column >= low[:, None]) & (column < (low + windows + layout.length - 1)[:, None])] = raw[at + 2 * n :]
+            parts.append(Suffixes(rows, *numbers, before, windows))
+        return Suffixes.join(parts)
 
     def grams(self, layout: Layout) -> np.ndarray:
         return np.ascontiguousarray(self.rows[:, layout.left : layout.left + GRAM]).view(f"S{GRAM}").ravel()
 
 
-def suffixes_of(texts: list[bytes], docs: np.ndarray, digests: np.ndarray, layout: Layout) -> Suffixes:
+def _suffixes_of_part(texts: list[bytes], docs: np.ndarray, digests: np.ndarray, layout: Layout) -> Suffixes:
     """The suffixes at the anchors of all windows of the texts; windows never cross texts."""
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
@@ -130,6 +147,17 @@ def suffixes_of(texts: list[bytes], docs: np.ndarray, digests: np.ndarray, layou
     return Suffixes(rows, docs[owner], digests[owner], first - starts[owner], (place - first).astype(np.uint8), (last - first + 1).astype(np.uint8))
 
 
+def suffixes_of(texts: list[bytes], docs: np.ndarray, digests: np.ndarray, layout: Layout) -> Suffixes:
+    """The suffixes at the anchors of all windows of the texts, PART_BYTES of text at a time."""
+    parts, at, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= PART_BYTES or i == len(texts) - 1:
+            parts.append(_suffixes_of_part(texts[at : i + 1], docs[at : i + 1], digests[at : i + 1], layout))
+            at, size = i + 1, 0
+    return Suffixes.join(parts) if parts else _suffixes_of_part([], docs, digests, layout)
+
+
 def tokens(rows: np.ndarray) -> np.ndarray:
     """Rows of bytes as rows of 8-byte tokens whose order is that of the bytes."""
     return np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
@@ -259,7 +287,7 @@ _FOUND_NAMES = ["doc", "digest", "start", "end", "bucket", "n", "data"]
 
 
 def _identified(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(DIGEST_MASK)).alias("digest"), F.col(text).alias("text"))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -328,14 +356,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             low, high = np.searchsorted(shared.value, grams), np.searchsorted(shared.value, grams, side="right")
             deal = (s.doc.view(np.uint64) * _HASH[0] >> np.uint64(33)).astype(np.int64)
             bucket = np.where(high - low > 1, low + 1 + deal % np.maximum(1, high - low), high)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((tokens(s.rows[:, layout.left : layout.left + 8]).ravel(), bucket))
             opens = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
             parts = np.split(order, opens[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[opens]].astype(np.int32)), pa.array(np.array([len(p) for p in parts], np.int32)), pa.array([s.take(p).pack() for p in parts], pa.binary())], ["bucket", "n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[opens]].astype(np.int32)), pa.array(np.array([len(p) for p in parts], np.int32)), pa.array([s.take(p).pack(layout) for p in parts], pa.binary())], ["bucket", "n", "data"])
 
     def gathered(batches: Iterator[pa.RecordBatch], at: int) -> Suffixes:
         blobs = [(n, blob) for batch in batches for n, blob in zip(batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist(), strict=True)]
-        return Suffixes.unpack(blobs, layout.width) if blobs else suffixes_of([], np.empty(0, np.int64), np.empty(0, np.int64), layout)
+        return Suffixes.unpack(blobs, layout) if blobs else suffixes_of([], np.empty(0, np.int64), np.empty(0, np.int64), layout)
 
     def spans(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         for doc, digest, start, end in found:
@@ -360,7 +388,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             for gram in np.unique(at):
                 part = on.take(np.flatnonzero(at == gram))
                 none = [pa.nulls(1, pa.int64())] * 4
-                yield pa.RecordBatch.from_arrays([*none, pa.array([int(gram)], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([part.pack()], pa.binary())], _FOUND_NAMES)
+                yield pa.RecordBatch.from_arrays([*none, pa.array([int(gram)], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([part.pack(layout)], pa.binary())], _FOUND_NAMES)
 
     def settle_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = gathered(batches, 0)
@@ -393,7 +421,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, w
     whole_characters: spans shrink to characters that lie in them wholly, so that kept is UTF-8.
     """
     spans = repeated_spans(docs, text, length).groupBy("doc", "digest").agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_digest": F.xxhash64(text)})
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_digest": F.xxhash64(text).bitwiseAND(F.lit(DIGEST_MASK))})
     joined = keyed.join(spans, (keyed._doc == spans.doc) & (keyed._digest == spans.digest), "left").drop("_doc", "_digest", "doc", "digest")
     names = docs.columns
     place = names.index(text)
@@ -401,7 +429,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, w
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             sizes, all_spans, kept = [], [], []
             for raw, starts, ends in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 raw = raw or b""
