@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, fingerprints, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
+from chunkloom.llm import ann, bpe, fingerprints, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 from chunkloom.llm.common import read_table
 
 
@@ -31,6 +32,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(read_table(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     return bpe.encoded_digests(read_table(spark, sf_dir, "documents"), vocabulary_path or public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary_path: str | None =
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_quality, op4_sharding, op5_fingerprints, op7_bpe, op8_simhash, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_quality, op4_sharding, op5_fingerprints, op6_neighbours, op7_bpe, op8_simhash, op9_toxicity, op10_packing)}
 
 
 def _url_filter_sql() -> str:
