@@ -48,7 +48,7 @@ REPORTS = (
 
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:|\n\"«»„“”]")
 _CLAUSE_ENDS, _QUOTES = set(".!?;:|\n"), set("\"«»„“”")
-STEM_LENGTHS = (4, 5, 6, 7)
+STEM_LENGTHS = (4, 5, 6, 7, 8)
 CACHE_WORDS = 500_000
 
 Symbol = tuple[str, ...]
@@ -232,7 +232,7 @@ def association(a: int, b: int, n1: int, n0: int) -> float:
     return out if a * n0 > b * n1 else -out
 
 
-def learn_lexicon(sample: DataFrame, n1: int, n0: int, max_candidates: int = 20_000, max_entries: int = 4096, least_g2: float = 26.0) -> Lexicon:
+def learn_lexicon(sample: DataFrame, n1: int, n0: int, max_candidates: int = 20_000, max_entries: int = 4096, least_g2: float = 20.0, least_ratio: float = 6.0) -> Lexicon:
     """The starting lexicon, reweighed, plus at most max_entries words and stems that mark toxic rows of the (bounded) sample."""
     lexicon = Lexicon()
     if not n1 or not n0:
@@ -244,7 +244,7 @@ def learn_lexicon(sample: DataFrame, n1: int, n0: int, max_candidates: int = 20_
     for word, (kind, _) in list(lexicon.words.items()):
         if a.get(word, 0) + b.get(word, 0) >= 5:
             lexicon.words[word] = (kind, max(0.0, min(6.0, odds(word))))
-    good = [(association(n, b.get(t, 0), n1, n0), t) for t, n in a.items() if n / n1 >= 30 * b.get(t, 0) / n0]
+    good = [(association(n, b.get(t, 0), n1, n0), t) for t, n in a.items() if n / n1 >= least_ratio * b.get(t, 0) / n0]
     for g2, term in sorted(good, reverse=True)[:max_entries]:
         if g2 < least_g2:
             break
@@ -252,6 +252,9 @@ def learn_lexicon(sample: DataFrame, n1: int, n0: int, max_candidates: int = 20_
             lexicon.stems[term[:-1]] = min(6.0, odds(term))
         elif term not in lexicon.words:
             lexicon.words[term] = ("insult", min(6.0, odds(term)))
+    # of stems that say the same, the longest stays: it fits the fewest other words
+    same = lambda s, longer: longer != s and longer.startswith(s) and a[f"{longer}*"] >= 0.95 * a[f"{s}*"]
+    lexicon.stems = {s: w for s, w in lexicon.stems.items() if not any(same(s, x) for x in lexicon.stems)}
     return lexicon
 
 
@@ -269,8 +272,15 @@ def fit_weights(x: np.ndarray, y: np.ndarray, pull: float = 2.0, steps: int = 40
     return w
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """One row of each class for each pair of least word hashes. Near copies share them; their rare words would pass for signs of a class."""
+    least = F.slice(F.array_sort(F.transform(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")), lambda w: F.xxhash64(w))), 1, 2)
+    first = F.min(F.struct("doc_id", "text")).alias("row")
+    return sample.groupBy("y", least.alias("least")).agg(first).select("row.doc_id", "row.text", "y")
+
+
 def train(documents: DataFrame, labels: DataFrame, max_rows_per_class: int | None = None) -> ToxicityModel:
-    sample = cut(labelled_sample(documents, labels, "toxic", *([max_rows_per_class] if max_rows_per_class else [])))
+    sample = cut(without_copies(labelled_sample(documents, labels, "toxic", *([max_rows_per_class] if max_rows_per_class else []))))
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     lexicon = learn_lexicon(sample, sizes.get(1, 0), sizes.get(0, 0))
 
