@@ -31,9 +31,9 @@ LENGTH = 100
 GRAM = 24
 NO_ID = (1 << 63) - 1
 #: Bytes of text that are cut into suffixes together, and of suffixes that a bucket should hold.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
+CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 16 << 20
 #: Bytes of text hashed together: bounds the arrays of 8 bytes for each byte of text.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 #: Bits of a text's digest that tell apart rows of equal id.
 DIGEST_MASK = (1 << 24) - 1
 SAMPLES_PER_BUCKET = 200
@@ -295,7 +295,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[lis
     docs: list[int] = []
     digests: list[int] = []
     size = 0
-    for batch in batches:
+    for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
         for doc, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
             if text is None or len(text) < least:
                 continue
@@ -418,20 +418,35 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
     """All columns of docs, then n_bytes, spans (array of start and end), kept (binary): what is left of each text.
 
+    Columns of docs that have one of these three names, or that of a helper (_doc, _digest, _starts, _ends), give way.
+
     whole_characters: spans shrink to characters that lie in them wholly, so that kept is UTF-8.
     """
-    spans = repeated_spans(docs, text, length).groupBy("doc", "digest").agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
+    docs = docs.drop("n_bytes", "spans", "kept", "_doc", "_digest", "_starts", "_ends")
+    spans = repeated_spans(docs, text, length).groupBy(F.col("doc").alias("_span_doc"), F.col("digest").alias("_span_digest")).agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_digest": F.xxhash64(text).bitwiseAND(F.lit(DIGEST_MASK))})
-    joined = keyed.join(spans, (keyed._doc == spans.doc) & (keyed._digest == spans.digest), "left").drop("_doc", "_digest", "doc", "digest")
     names = docs.columns
     place = names.index(text)
     schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), "kept": F.lit(None).cast("binary")}).schema
 
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
+            packed = [None if raw is None else press(raw) for raw in batch.column(place).cast(pa.binary()).to_pylist()]
+            columns = [pa.array(packed, pa.binary()) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "_doc", "_digest"])
+
+    # texts cross the shuffle compressed: they are the largest part of what it moves
+    small = keyed.mapInArrow(shrink, keyed.withColumn(text, F.lit(None).cast("binary")).schema)
+    joined = small.join(spans, (F.col("_doc") == F.col("_span_doc")) & (F.col("_digest") == F.col("_span_digest")), "left")
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = zstandard.ZstdDecompressor().decompress
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             sizes, all_spans, kept = [], [], []
-            for raw, starts, ends in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+            raws = [None if x is None else full(x) for x in batch.column(place).to_pylist()]
+            for raw, starts, ends in zip(raws, batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 raw = raw or b""
                 runs = merged(starts, ends) if starts else []
                 if whole_characters and runs:
@@ -448,7 +463,8 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, w
                 all_spans.append([{"start": a, "end": b} for a, b in runs])
                 edges = [0, *(x for run in runs for x in run), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sizes, pa.int64()), pa.array(all_spans, span_type), pa.array(kept, pa.binary())], [*names, "n_bytes", "spans", "kept"])
+            original = [pa.array(raws, pa.binary()).cast(pa.string()) if i == place else c for i, c in enumerate(batch.columns[: len(names)])]
+            yield pa.RecordBatch.from_arrays([*original, pa.array(sizes, pa.int64()), pa.array(all_spans, span_type), pa.array(kept, pa.binary())], [*names, "n_bytes", "spans", "kept"])
 
     return joined.select(*names, "_starts", "_ends").mapInArrow(strip, schema)
 
