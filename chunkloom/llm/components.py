@@ -23,6 +23,17 @@ def local_forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
             label = label[label]
 
 
+#: A node's edges are dealt to so many tasks, so that a hub's do not meet in one.
+DEALS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) with m of least (a, m). least has a row for each node and is repeated for each deal of its edges."""
+    dealt = edges.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(DEALS)).cast("int"))
+    repeated = least.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    return dealt.join(repeated, ["a", "deal"]).drop("deal")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: every node of edges (a, b, both long and not null) but the roots, with the smallest node it reaches.
 
@@ -34,9 +45,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _with_least(large, low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         state = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen:
