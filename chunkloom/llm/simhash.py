@@ -6,7 +6,8 @@ dynamic programming over estimated candidate counts. A partition with threshold
 equi-key finds all its candidates; candidates are then verified on all bits.
 
 Equal fingerprints are collapsed before the search. Within a bucket only a spanning forest of the verified links is written, so a large
-group of copies gives no more rows than it has members.
+group of copies gives no more rows than it has members. With a similarity of shingle sets asked for, each member's nearest partner is
+written too; the sets of these links are then compared exactly, and only links that pass count.
 
 Cases: null and empty texts have fingerprint zero and are linked like others; texts shorter than a shingle are one shingle; very long
 texts are read whole; repeated rows and ids share a component; null ids never name a component (it is null if no member has an id).
@@ -40,7 +41,8 @@ class Settings:
     """What is fingerprinted and how near counts.
 
     words, distinct: shingles of the probed fingerprint, and whether repeats count once. check_words, similarity: if given, a link also
-    needs a 256-bit SimHash over shingles of check_words within the distance that similarity (of shingle sets) leads to.
+    needs sets of shingles of check_words of at least this Jaccard similarity. A 256-bit SimHash over these shingles picks the candidates
+    whose sets are compared.
     """
 
     words: int = 3
@@ -51,9 +53,9 @@ class Settings:
 
     @property
     def check_distance(self) -> int:
-        """Expected distance at this similarity plus 1.3 standard deviations, so that most links at the limit are kept."""
+        """Expected distance at this similarity plus three standard deviations, so that hardly a link at the limit is missed."""
         share = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
-        return int(256 * share + 1.3 * math.sqrt(256 * share * (1 - share)))
+        return int(256 * share + 3 * math.sqrt(256 * share * (1 - share)))
 
 
 #: Links of the pipeline's stage: five-word shingles with a similarity of 0.8; found by fingerprints of distinct words within 7 bits.
@@ -162,6 +164,7 @@ def plan_partitions(n: int, both: np.ndarray, distance: int, most: int = 8) -> l
     """(bits, threshold) of the partitions to probe: the cheapest allocation over all numbers of partitions up to most."""
     p = np.diag(both) / max(n, 1)
     agree = 1 - 2 * p * (1 - p)
+    n = max(n, 1)
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(1, most + 1):
         parts, total = correlated_partitions(n, both, m), distance - m + 1
@@ -196,24 +199,33 @@ class Linker:
         self.distance = settings.distance
         self.check = settings.check_distance if settings.check_words is not None else None
 
-    def near(self, prints: np.ndarray, checks: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def near(self, prints: np.ndarray, checks: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of a and b that are near enough, and the distance of their checks (0 without checks)."""
         ok = np.bitwise_count(prints[a] ^ prints[b]) <= self.distance
-        if checks is not None and ok.any():
-            at = np.flatnonzero(ok)
-            ok[at] = np.bitwise_count(checks[a[at]] ^ checks[b[at]]).sum(1) <= self.check
-        return ok
-
-    def small(self, prints: np.ndarray, checks: np.ndarray | None, bucket: np.ndarray, size: np.ndarray) -> tuple[list, list]:
-        """Pairs of rows of one bucket, by their distance in the sorted order."""
-        left, right, at, d = [], [], np.arange(len(bucket)), 1
+        a, b = a[ok], b[ok]
+        if checks is None or not len(a):
+            return a, b, np.zeros(len(a), np.int64)
+        apart = np.concatenate([np.bitwise_count(checks[a[i : i + 500_000]] ^ checks[b[i : i + 500_000]]).sum(1, dtype=np.int64) for i in range(0, len(a), 500_000)])
+        ok = apart <= self.check
+        return a[ok], b[ok], apart[ok]
+
+    def note(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        """Remembers the nearest partner of each row."""
+        for x, y in ((a, b), (b, a)):
+            order = np.lexsort((apart, x))
+            first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order
+            first = first[apart[first] < self.best[x[first]]]
+            self.best[x[first]], self.partner[x[first]] = apart[first], y[first]
+
+    def small(self, prints: np.ndarray, checks: np.ndarray | None, bucket: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Near pairs of rows of one bucket, by their distance in the sorted order."""
+        out, at, d = [], np.arange(len(bucket)), 1
         place = np.arange(len(bucket)) - np.maximum.accumulate(np.where(np.concatenate([[True], bucket[1:] != bucket[:-1]]), np.arange(len(bucket)), 0))
         while True:
             at = at[place[at] + d < size[at]]
             if not len(at):
-                return left, right
-            ok = self.near(prints, checks, at, at + d)
-            left.append(at[ok])
-            right.append(at[ok] + d)
+                return out
+            out.append(self.near(prints, checks, at, at + d))
             d += 1
 
     def large(self, prints: np.ndarray, checks: np.ndarray | None, rows: np.ndarray, free: list[int]) -> np.ndarray:
@@ -236,17 +248,21 @@ class Linker:
             a, b = np.nonzero(np.bitwise_count(prints[rows[at : at + step], None] ^ prints[None, rows]) <= self.distance)
             a += at
             keep = a < b
-            a, b = a[keep], b[keep]
-            if checks is not None and len(a):
-                ok = np.concatenate([np.bitwise_count(checks[rows[x]] ^ checks[rows[y]]).sum(1) <= self.check for x, y in zip(np.array_split(a, len(a) // 500_000 + 1), np.array_split(b, len(b) // 500_000 + 1), strict=True)])
-                a, b = a[ok], b[ok]
+            if checks is not None:
+                x, y, apart = self.near(prints, checks, rows[a[keep]], rows[b[keep]])
+                self.note(x, y, apart)
+                place = np.argsort(rows)
+                a, b = place[np.searchsorted(rows[place], x)], place[np.searchsorted(rows[place], y)]
+            else:
+                a, b = a[keep], b[keep]
             if len(a):
                 label = local_forest(np.concatenate([a, np.arange(len(rows))]), np.concatenate([b, label]), len(rows))
         moved = np.flatnonzero(label != np.arange(len(rows)))
         return np.stack([rows[moved], rows[label[moved]]], 1)
 
     def links(self, probe: np.ndarray, key: np.ndarray, prints: np.ndarray, checks: np.ndarray | None, masks: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of a spanning forest over whole buckets (equal probe and key, sorted by them)."""
+        """Row numbers of a spanning forest over whole buckets (equal probe and key, sorted by them); with checks, of nearest partners too."""
+        self.best, self.partner = np.full(len(probe), 1 << 30), np.zeros(len(probe), np.int64)
         change = np.concatenate([[True], (probe[1:] != probe[:-1]) | (key[1:] != key[:-1])])
         bucket = np.cumsum(change) - 1
         counts = np.bincount(bucket)
@@ -254,8 +270,12 @@ class Linker:
         rows = np.flatnonzero((size > 1) & (size <= 512))
         pairs = []
         if len(rows):
-            left, right = self.small(prints[rows], None if checks is None else checks[rows], bucket[rows], size[rows])
-            pairs.append(np.stack([rows[np.concatenate(left)], rows[np.concatenate(right)]], 1) if left else np.empty((0, 2), np.int64))
+            found = self.small(prints[rows], None if checks is None else checks[rows], bucket[rows], size[rows])
+            if found:
+                left, right, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+                pairs.append(np.stack([rows[left], rows[right]], 1))
+                if checks is not None:
+                    self.note(rows[left], rows[right], apart)
         starts = np.flatnonzero(change)
         for b in np.flatnonzero(counts > 512):
             own = np.arange(starts[b], starts[b] + counts[b])
@@ -263,7 +283,8 @@ class Linker:
         found = np.concatenate([p for p in pairs if len(p)] or [np.empty((0, 2), np.int64)])
         label = local_forest(found[:, 0], found[:, 1], len(probe))
         moved = np.flatnonzero(label != np.arange(len(probe)))
-        return moved, label[moved]
+        close = np.flatnonzero(self.best < 1 << 30)
+        return np.concatenate([moved, close]), np.concatenate([label[moved], self.partner[close]])
 
 
 def bucket_links(nodes: DataFrame, masks: list[int], settings: Settings) -> DataFrame:
@@ -272,7 +293,9 @@ def bucket_links(nodes: DataFrame, masks: list[int], settings: Settings) -> Data
     One shuffle of a row for each node and mask, by the masked bits; buckets are then read from sorted partitions as a stream.
     """
     checked = settings.check_words is not None
-    probes = F.array(*[F.struct(F.lit(i).alias("probe"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, m in enumerate(masks)])
+    # a constant array and a lambda: a CASE or struct for each mask would make generated code grow with their number
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    probes = F.transform(signed, lambda m, i: F.struct(i.alias("probe"), F.col("fp").bitwiseAND(m).alias("key")))
     rows = nodes.select("node", "fp", *(["check"] if checked else []), F.explode(probes).alias("p")).select("p.probe", "p.key", "node", "fp", *(["check"] if checked else []))
     dealt = rows.repartition("probe", "key").sortWithinPartitions("probe", "key")
     linker = Linker(settings)
@@ -307,6 +330,45 @@ def bucket_links(nodes: DataFrame, masks: list[int], settings: Settings) -> Data
     return dealt.mapInArrow(work, "a long, b long")
 
 
+def set_hashes(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of a text's shingles."""
+    return np.unique(shingle_hashes((text or "").encode().lower().split(), size) >> np.uint64(32)).astype("<u4")
+
+
+def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """The links (a, b) whose shingle sets are similar enough, compared exactly.
+
+    Only documents that a candidate link names are turned into sets, one for each node. Links are joined with the sets of both ends;
+    their number is linear in that of the nodes, and the joins' skew is the engine's to split. A node without any id is not found
+    again by id; its links count unseen.
+    """
+    size, similarity = settings.check_words, settings.similarity
+    named = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.where("first_id IS NOT NULL").select("node", "first_id"), "node")
+    texts = docs.join(named, docs.doc_id == named.first_id).groupBy("node").agg(F.min("text").alias("text"))
+
+    def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hashes(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    sets = cut(texts.mapInArrow(hash_sets, "node long, set binary"))
+    first = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a", "left")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b", "left").select("a", "b", "set_a", "set_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                if not (x.is_valid and y.is_valid):
+                    keep.append(True)
+                    continue
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest id among all rows that links lead to.
 
@@ -317,7 +379,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     prints = prints.withColumn("node", node)
     nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.min("doc_id").alias("first_id")))
     masks = probe_masks(plan_partitions(*bit_counts(nodes), settings.distance))
-    roots = connected_components(bucket_links(nodes, masks, settings))
+    links = bucket_links(nodes, masks, settings)
+    if settings.check_words is not None:
+        links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        links = verified_links(links, nodes, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), settings)
+    roots = connected_components(links)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(names, "root").select("node", "component_id")
