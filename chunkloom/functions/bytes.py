@@ -116,3 +116,19 @@ def adler32(data: Column) -> Column:
     )
     low, high = (sums.s + 1) % 65521, (n + n * sums.s - sums.w) % 65521
     return high * 65536 + low
+
+
+def hex_dump(data: Column) -> Column:
+    """Bytes as hex pairs with spaces between."""
+    return F.array_join(hex_pairs(data), " ")
+
+
+def bit_string(value: Column, bits: Column | int) -> Column:
+    """The low bits of a non-negative integer as 0 and 1, the highest first."""
+    n = bits if isinstance(bits, Column) else F.lit(bits)
+    return F.right(F.lpad(F.bin(value.cast("long")), 64, "0"), n)
+
+
+def assert_equal(a: Column, b: Column, message: str) -> Column:
+    """a, or an error where a and b differ."""
+    return F.when(a.eqNullSafe(b), a).otherwise(F.raise_error(F.lit(message)))

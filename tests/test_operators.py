@@ -276,3 +276,11 @@ def test_rest_works_without_the_optional_package():
 
     code = "import sys; sys.modules['chunkloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'byte_histogram' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_dumps_and_assertion(spark):
+    df = spark.createDataFrame([(bytearray(b"\x00\xffA"), 5)], "d binary, n long")
+    r = df.select(by.hex_dump(F.col("d")).alias("h"), by.bit_string(F.col("n"), 4).alias("b"), by.assert_equal(F.col("n"), F.lit(5), "no").alias("n")).first()
+    assert (r.h, r.b, r.n) == ("00 FF 41", "0101", 5)
+    with pytest.raises(Exception, match="they differ"):
+        df.select(by.assert_equal(F.col("n"), F.lit(6), "they differ")).collect()
