@@ -80,5 +80,20 @@ SELECT page_id, host, path, rule,
 FROM c"""
 
 
+#: Every string of 100 bytes as a row; those not first in order are islands of removed bytes.
+_SUFFIX_DEDUP_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, CAST(2 * s + 1 AS BIGINT), 200)) AS w FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS s FROM d WHERE len(h) >= 200)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS f FROM r),
+i AS (SELECT doc_id, s, sum(f) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM g),
+spans AS (SELECT doc_id, n, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, n),
+sums AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last FROM spans GROUP BY doc_id),
+parts AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM spans UNION ALL SELECT doc_id, 1000000000000, last, 1000000000000 FROM sums),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(least(2 * (q - p), len(h)) AS BIGINT)), '' ORDER BY a) AS k FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _url_filter_sql()}
+    return {"op1_suffix_dedup": _SUFFIX_DEDUP_SQL, "op2_url_filter": _url_filter_sql()}
