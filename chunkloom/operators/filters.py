@@ -22,7 +22,11 @@ NARROW = 600
 
 
 def neighbours(samples: DataFrame, bpp: int) -> DataFrame:
-    """Adds a (left), b (above) and c (above left), 0 outside the image."""
+    """Adds a (left), b (above) and c (above left), 0 outside the image.
+
+    One shuffle, by image: it serves both windows and what groups by image and row afterwards.
+    """
+    samples = samples.repartition("image_id")
     row = Window.partitionBy("image_id", "y").orderBy("i")
     column = Window.partitionBy("image_id", "i").orderBy("y")
     zero = F.lit(0)
@@ -42,9 +46,9 @@ def forward(samples: DataFrame, name: str, bpp: int = 1) -> DataFrame:
 
 
 def scores(samples: DataFrame, bpp: int = 1) -> DataFrame:
-    """image_id, y, s_none .. s_paeth: sums of the unsigned bytes each filter emits. One pass over the neighbours for all five."""
+    """image_id, y, s_none .. s_paeth (sums of the unsigned bytes each filter emits), w (bytes of the row). One pass over the neighbours for all five."""
     value = lambda name: F.pmod(F.col("x") - predicted(name, F.col("a"), F.col("b"), F.col("c")), F.lit(256))
-    return neighbours(samples, bpp).groupBy("image_id", "y").agg(*[F.sum(value(n)).cast("long").alias(f"s_{n}") for n in NAMES])
+    return neighbours(samples, bpp).groupBy("image_id", "y").agg(*[F.sum(value(n)).cast("long").alias(f"s_{n}") for n in NAMES], F.count("*").alias("w"))
 
 
 def choice(score_rows: DataFrame) -> DataFrame:
@@ -55,8 +59,7 @@ def choice(score_rows: DataFrame) -> DataFrame:
 
 def chosen_filters(samples: DataFrame, bpp: int = 1, narrow: int = NARROW) -> DataFrame:
     """image_id, y, filter: none or sub for the first row by its width, else by score."""
-    width = samples.groupBy("image_id", "y").agg(F.count("*").alias("w"))
-    picked = choice(scores(samples, bpp)).join(width, ["image_id", "y"])
+    picked = choice(scores(samples, bpp))
     return picked.select("image_id", "y", F.when(F.col("y") > 0, F.col("filter")).when(F.col("w") < narrow, 0).otherwise(1).alias("filter"))
 
 
@@ -114,16 +117,16 @@ def undo_image(lines: list[tuple[int, bytes]], bpp: int) -> list[bytes]:
     return out
 
 
-def unfilter_scanlines(lines: DataFrame, bpp: str = "bpp") -> DataFrame:
-    """image_id, y, row: rows of scanlines (image_id, y, filter, row, bpp) without their filters. One task works on one image at a time."""
-    chosen = lines.select("image_id", "y", "filter", "row", F.col(bpp).alias("bpp"))
+def unfilter_scanlines(lines: DataFrame, bpp: str = "bpp", keep: tuple[str, ...] = ()) -> DataFrame:
+    """image_id, y, row, keep: rows of scanlines (image_id, y, filter, row, bpp) without their filters. One task works on one image at a time."""
+    chosen = lines.select("image_id", "y", "filter", "row", F.col(bpp).alias("bpp"), *keep)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("y")
         plain = undo_image(list(zip(rows["filter"], rows["row"], strict=True)), max(1, int(rows["bpp"].iloc[0])))
-        return pd.DataFrame({"image_id": rows["image_id"], "y": rows["y"], "row": plain})
+        return pd.DataFrame({"image_id": rows["image_id"], "y": rows["y"], "row": plain, **{k: rows[k] for k in keep}})
 
-    return chosen.groupBy("image_id").applyInPandas(work, chosen.select("image_id", "y", "row").schema)
+    return chosen.groupBy("image_id").applyInPandas(work, chosen.select("image_id", "y", "row", *keep).schema)
 
 
 def unfilter_samples(filtered: DataFrame, name: str, bpp: int = 1) -> DataFrame:
@@ -146,18 +149,19 @@ def unfilter_samples(filtered: DataFrame, name: str, bpp: int = 1) -> DataFrame:
     return filtered.groupBy("image_id").applyInPandas(work, filtered.select("image_id", "y", "i", F.col("f").cast("int").alias("x")).schema)
 
 
-def split_scanlines(raws: DataFrame) -> DataFrame:
-    """image_id, y, filter, row, bpp of raws (image_id, raw, stride, bpp): a filter byte, then stride bytes, for each row; a torn last row is left out."""
+def split_scanlines(raws: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """image_id, y, filter, row, bpp, keep (ints) of raws (image_id, raw, stride, bpp): a filter byte, then stride bytes, a row; a torn last row is left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image, raw, stride, bpp in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for image, raw, stride, bpp, *kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(raw) // (stride + 1) if raw and stride else 0
                 if n:
                     at = [y * (stride + 1) for y in range(n)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([image] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([raw[k] for k in at], pa.int32()), pa.array([raw[k + 1 : k + 1 + stride] for k in at], pa.binary()), pa.array([bpp] * n, pa.int32())],
-                        ["image_id", "y", "filter", "row", "bpp"],
+                        [pa.array([image] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([raw[k] for k in at], pa.int32()), pa.array([raw[k + 1 : k + 1 + stride] for k in at], pa.binary()), pa.array([bpp] * n, pa.int32()), *(pa.array([k] * n, pa.int32()) for k in kept)],
+                        ["image_id", "y", "filter", "row", "bpp", *keep],
                     )
 
-    return raws.select("image_id", "raw", "stride", "bpp").mapInArrow(work, "image_id long, y int, filter int, row binary, bpp int")
+    ints = "".join(f", {k} int" for k in keep)
+    return raws.select("image_id", "raw", "stride", "bpp", *keep).mapInArrow(work, f"image_id long, y int, filter int, row binary, bpp int{ints}")

@@ -12,13 +12,14 @@ from chunkloom.sources import png
 
 
 def decode(images: DataFrame) -> DataFrame:
-    """image_id, y, x, r, g, b, a of images (image_id, content). Unsupported or damaged images give no pixels: see image_status."""
-    chunk_rows = png.chunks(images)
-    head = png.ihdr(chunk_rows).where("NOT unsupported").select("image_id", "stride", "bpp", "color_type", "bit_depth")
-    raw = inflate(png.image_data(chunk_rows), "idat", "raw").where("raw IS NOT NULL").select("image_id", "raw")
-    lines = split_scanlines(raw.join(head, "image_id").select("image_id", "raw", F.col("stride").cast("int"), F.col("bpp").cast("int")))
-    plain = unfilter_scanlines(lines)
-    return px.pixels(plain.join(head.select("image_id", "color_type", "bit_depth"), "image_id"))
+    """image_id, y, x, r, g, b, a of images (image_id, content). Unsupported or damaged images give no pixels: see image_status.
+
+    Files are parsed once; the only shuffle brings the scanlines of an image together.
+    """
+    kept = ("color_type", "bit_depth")
+    able = png.image_parts(images).where("NOT unsupported").select("image_id", "idat", F.col("stride").cast("int"), "bpp", *kept)
+    raw = inflate(able, "idat", "raw").where("raw IS NOT NULL")
+    return px.pixels(unfilter_scanlines(split_scanlines(raw, kept), keep=kept))
 
 
 def show(images: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def _unfilter(name: str) -> Query:
 
 
 def filter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.scores(raster(spark, sf_dir))
+    return filters.scores(raster(spark, sf_dir)).drop("w")
 
 
 def filter_choice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,18 +75,44 @@ def _of(chunk_rows: DataFrame, tag: str) -> DataFrame:
     return chunk_rows.where(F.col("type") == tag)
 
 
-def _fields(chunk_rows: DataFrame, tag: str, layout: list[tuple[str, int]]) -> DataFrame:
+def _columns(layout: list[tuple[str, int]]) -> list[F.Column]:
     columns, at = [], 1
     for name, size in layout:
         value = be_uint(F.col("data"), at, size)
         columns.append((value if size == 4 else value.cast("int")).alias(name))
         at += size
-    return _of(chunk_rows, tag).select("image_id", "seq", *columns)
+    return columns
+
+
+def _fields(chunk_rows: DataFrame, tag: str, layout: list[tuple[str, int]]) -> DataFrame:
+    return _of(chunk_rows, tag).select("image_id", "seq", *_columns(layout))
+
+
+IHDR = [("width", 4), ("height", 4), ("bit_depth", 1), ("color_type", 1), ("compression", 1), ("filter", 1), ("interlace", 1)]
+
+
+def image_parts(images: DataFrame) -> DataFrame:
+    """image_id, the fields of the header, and idat (joined payloads) of images (image_id, content): one pass for what decoding needs."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, data = [], []
+            for content in batch.column(1).to_pylist():
+                rows = split_chunks(content or b"")
+                heads.append(next((r[4] for r in rows if r[2] == "IHDR"), None))
+                data.append(b"".join(r[4] for r in rows if r[2] == "IDAT"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], ["image_id", "data", "idat"])
+
+    parts = images.select(F.col("image_id").cast("long"), "content").mapInArrow(work, "image_id long, data binary, idat binary")
+    return _with_geometry(parts.select("image_id", *_columns(IHDR), "idat"))
 
 
 def ihdr(chunk_rows: DataFrame) -> DataFrame:
     """Headers with bpp, stride and unsupported (interlaced, indexed, packed or unknown)."""
-    head = _fields(chunk_rows, "IHDR", [("width", 4), ("height", 4), ("bit_depth", 1), ("color_type", 1), ("compression", 1), ("filter", 1), ("interlace", 1)])
+    return _with_geometry(_fields(chunk_rows, "IHDR", IHDR))
+
+
+def _with_geometry(head: DataFrame) -> DataFrame:
     samples = samples_per_pixel(F.col("color_type"))
     bits = F.col("width") * samples * F.col("bit_depth")
     return head.withColumns(
