@@ -27,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.common import cut
-from chunkloom.llm.components import connected_components, local_forest
+from chunkloom.llm.components import connected_components, local_forest, with_least
 
 BITS, SEED = 64, 42
 MASK = (1 << BITS) - 1
 #: Costs, in seconds, of writing, sorting and reading a probe row and of comparing a candidate pair; only their ratio matters.
 PROBE_COST, PAIR_COST = 6e-6, 1.5e-8
-BLOCK_ROWS, BLOCK_CELLS = 4096, 1 << 22
+BLOCK_ROWS, BLOCK_CELLS = 4096, 1 << 19
+#: Larger buckets are compared block by block.
+SMALL_BUCKET = 128
+#: Links held before they are reduced to a spanning forest.
+HELD_LINKS = 300_000
 
 
 @dataclass(frozen=True)
@@ -217,46 +221,56 @@ class Linker:
             first = first[apart[first] < self.best[x[first]]]
             self.best[x[first]], self.partner[x[first]] = apart[first], y[first]
 
-    def small(self, prints: np.ndarray, checks: np.ndarray | None, bucket: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    def small(self, prints: np.ndarray, checks: np.ndarray | None, bucket: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Near pairs of rows of one bucket, by their distance in the sorted order."""
-        out, at, d = [], np.arange(len(bucket)), 1
+        at, d = np.arange(len(bucket)), 1
         place = np.arange(len(bucket)) - np.maximum.accumulate(np.where(np.concatenate([[True], bucket[1:] != bucket[:-1]]), np.arange(len(bucket)), 0))
         while True:
             at = at[place[at] + d < size[at]]
             if not len(at):
-                return out
-            out.append(self.near(prints, checks, at, at + d))
+                return
+            yield self.near(prints, checks, at, at + d)
             d += 1
 
     def large(self, prints: np.ndarray, checks: np.ndarray | None, rows: np.ndarray, free: list[int]) -> np.ndarray:
         """(row, root) of one bucket of many rows. As long as it is large, it is split by exact blocks of the bits still free."""
         if len(rows) > BLOCK_ROWS and len(free) >= 4 * (self.distance + 1):
-            pairs = []
-            for i in range(self.distance + 1):
-                block = free[i :: self.distance + 1]
-                key = prints[rows] & np.uint64(sum(1 << b for b in block))
-                order = np.argsort(key, kind="stable")
-                cuts = np.flatnonzero(np.diff(key[order])) + 1
-                rest = [b for b in free if b not in block]
-                for part in np.split(rows[order], cuts):
-                    if len(part) > 1:
-                        pairs.append(self.large(prints, checks, part, rest))
-            return np.concatenate([p for p in pairs if len(p)] or [np.empty((0, 2), np.int64)])
-        label = np.arange(len(rows))
-        step = max(1, BLOCK_CELLS // len(rows))
-        for at in range(0, len(rows), step):
-            a, b = np.nonzero(np.bitwise_count(prints[rows[at : at + step], None] ^ prints[None, rows]) <= self.distance)
-            a += at
-            keep = a < b
-            if checks is not None:
-                x, y, apart = self.near(prints, checks, rows[a[keep]], rows[b[keep]])
-                self.note(x, y, apart)
-                place = np.argsort(rows)
-                a, b = place[np.searchsorted(rows[place], x)], place[np.searchsorted(rows[place], y)]
-            else:
-                a, b = a[keep], b[keep]
-            if len(a):
-                label = local_forest(np.concatenate([a, np.arange(len(rows))]), np.concatenate([b, label]), len(rows))
+            blocks = [free[i :: self.distance + 1] for i in range(self.distance + 1)]
+            keys = [prints[rows] & np.uint64(sum(1 << b for b in block)) for block in blocks]
+            sizes = [np.unique(key, return_counts=True)[1].astype(float) for key in keys]
+            if sum((n * n).sum() for n in sizes) < 0.5 * len(rows) ** 2:  # else splitting costs more than comparing all
+                pairs = []
+                for block, key in zip(blocks, keys, strict=True):
+                    order = np.argsort(key, kind="stable")
+                    cuts = np.flatnonzero(np.diff(key[order])) + 1
+                    rest = [b for b in free if b not in block]
+                    pairs += [self.large(prints, checks, part, rest) for part in np.split(rows[order], cuts) if len(part) > 1]
+                return np.concatenate([p for p in pairs if len(p)] or [np.empty((0, 2), np.int64)])
+        own, marks = prints[rows], None if checks is None else checks[rows]
+        label, step, first = np.arange(len(rows)), max(1, BLOCK_CELLS // len(rows)), True
+        while True:
+            joined: list[np.ndarray] = []
+            for at in range(0, len(rows), step):
+                here = np.arange(at, min(at + step, len(rows)))
+                near = np.bitwise_count(own[here, None] ^ own[None, :]) <= self.distance
+                near[here - at, here] = False
+                if marks is not None:
+                    apart = sum(np.bitwise_count(marks[here, None, k] ^ marks[None, :, k]).astype(np.int32) for k in range(4))
+                    near &= apart <= self.check
+                    if first:
+                        apart[~near] = 1 << 30
+                        closest = apart.argmin(1)
+                        least = apart[here - at, closest]
+                        better = least < self.best[rows[here]]
+                        self.best[rows[here[better]]], self.partner[rows[here[better]]] = least[better], rows[closest[better]]
+                # each row joins its neighbour of the lowest label, until no row has a neighbour with another label
+                lowest = np.where(near, label[None, :], len(rows)).argmin(1)
+                moves = near[here - at, lowest] & (label[lowest] < label[here])
+                joined.append(np.stack([here[moves], lowest[moves]], 1))
+            first, pairs = False, np.concatenate(joined)
+            if not len(pairs):
+                break
+            label = local_forest(np.concatenate([pairs[:, 0], np.arange(len(rows))]), np.concatenate([pairs[:, 1], label]), len(rows))
         moved = np.flatnonzero(label != np.arange(len(rows)))
         return np.stack([rows[moved], rows[label[moved]]], 1)
 
@@ -267,24 +281,30 @@ class Linker:
         bucket = np.cumsum(change) - 1
         counts = np.bincount(bucket)
         size = counts[bucket]
-        rows = np.flatnonzero((size > 1) & (size <= 512))
+        rows = np.flatnonzero((size > 1) & (size <= SMALL_BUCKET))
         pairs = []
         if len(rows):
-            found = self.small(prints[rows], None if checks is None else checks[rows], bucket[rows], size[rows])
-            if found:
-                left, right, apart = (np.concatenate(c) for c in zip(*found, strict=True))
-                pairs.append(np.stack([rows[left], rows[right]], 1))
+            held: list[np.ndarray] = []
+            for left, right, apart in self.small(prints[rows], None if checks is None else checks[rows], bucket[rows], size[rows]):
+                held.append(np.stack([rows[left], rows[right]], 1))
                 if checks is not None:
                     self.note(rows[left], rows[right], apart)
+                if sum(map(len, held)) > HELD_LINKS:
+                    held = [self.forest(np.concatenate(held), len(probe))]
+            pairs += held
         starts = np.flatnonzero(change)
-        for b in np.flatnonzero(counts > 512):
+        for b in np.flatnonzero(counts > SMALL_BUCKET):
             own = np.arange(starts[b], starts[b] + counts[b])
             pairs.append(self.large(prints, checks, own, [i for i in range(BITS) if not masks[probe[own[0]]] >> i & 1]))
-        found = np.concatenate([p for p in pairs if len(p)] or [np.empty((0, 2), np.int64)])
-        label = local_forest(found[:, 0], found[:, 1], len(probe))
-        moved = np.flatnonzero(label != np.arange(len(probe)))
+        tree = self.forest(np.concatenate([p for p in pairs if len(p)] or [np.empty((0, 2), np.int64)]), len(probe))
         close = np.flatnonzero(self.best < 1 << 30)
-        return np.concatenate([moved, close]), np.concatenate([label[moved], self.partner[close]])
+        return np.concatenate([tree[:, 0], close]), np.concatenate([tree[:, 1], self.partner[close]])
+
+    @staticmethod
+    def forest(pairs: np.ndarray, n: int) -> np.ndarray:
+        label = local_forest(pairs[:, 0], pairs[:, 1], n)
+        moved = np.flatnonzero(label != np.arange(n))
+        return np.stack([moved, label[moved]], 1)
 
 
 def bucket_links(nodes: DataFrame, masks: list[int], settings: Settings) -> DataFrame:
@@ -385,8 +405,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
         links = verified_links(links, nodes, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), settings)
     roots = connected_components(links)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(names, "root").select("node", "component_id")
+    names = rooted.groupBy("root").agg(F.min("first_id").alias("m"))
+    members = rooted.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    named = with_least(members, names.withColumnRenamed("root", "a")).select(F.col("b").alias("node"), F.col("m").alias("component_id"))
     return prints.join(named, "node").select("doc_id", "fp", "component_id")
 
 

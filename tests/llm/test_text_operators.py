@@ -367,6 +367,7 @@ def test_large_buckets_are_searched_whole():
     r = np.random.default_rng(1)
     prints = np.unique(r.integers(0, 1 << 20, 9000).astype(np.uint64))
     linker = simhash.Linker(simhash.Settings())
+    linker.best, linker.partner = np.full(len(prints), 1 << 30), np.zeros(len(prints), np.int64)
     found = linker.large(prints, None, np.arange(len(prints)), list(range(64)))
     from chunkloom.llm.components import local_forest
 
