@@ -37,6 +37,8 @@ PART_BYTES = 1 << 19
 #: Bits of a text's digest that tell apart rows of equal id.
 DIGEST_MASK = (1 << 24) - 1
 SAMPLES_PER_BUCKET = 200
+#: Bounds for any input: buckets (24 bytes each in a broadcast), sampled strings (24 bytes each on the driver), tasks of a shuffle.
+MAX_BUCKETS, MAX_SAMPLES, MAX_PARTITIONS = 1 << 20, 1 << 22, 1 << 17
 _HASH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 _PLACE_BITS = np.uint64(24)
 
@@ -313,9 +315,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[lis
 
 
 def _splitters(rows: DataFrame, buckets: int, total: int, layout: Layout) -> np.ndarray:
-    """buckets - 1 leading strings that deal a sample of suffixes evenly; at most SAMPLES_PER_BUCKET strings a bucket reach the driver."""
+    """buckets - 1 leading strings that deal a sample of suffixes evenly; some MAX_SAMPLES strings at most reach the driver."""
     anchors = max(1.0, 2 * total / (layout.span + 1))
-    share = min(1.0, SAMPLES_PER_BUCKET * buckets / anchors)
+    share = min(1.0, min(MAX_SAMPLES, SAMPLES_PER_BUCKET * buckets) / anchors)
     # whole documents are drawn, at a higher share, and then some of their suffixes, so that few texts are read into Python
     drawn = min(1.0, max(share * 4, 200 / max(1, rows.sparkSession.sparkContext.defaultParallelism * 1000)))
 
@@ -341,7 +343,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     layout = Layout(length)
     rows = _identified(docs, text)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_width(docs.sparkSession), -(-int(total * 2 * layout.width / (layout.span + 1)) // BUCKET_BYTES))
+    buckets = min(MAX_BUCKETS, max(shuffle_width(docs.sparkSession), -(-int(total * 2 * layout.width / (layout.span + 1)) // BUCKET_BYTES)))
     splitters = _splitters(rows, buckets, total, layout)
     shared = docs.sparkSession.sparkContext.broadcast(splitters)
     frequent = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
@@ -361,9 +363,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             parts = np.split(order, opens[1:])
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order[opens]].astype(np.int32)), pa.array(np.array([len(p) for p in parts], np.int32)), pa.array([s.take(p).pack(layout) for p in parts], pa.binary())], ["bucket", "n", "data"])
 
-    def gathered(batches: Iterator[pa.RecordBatch], at: int) -> Suffixes:
-        blobs = [(n, blob) for batch in batches for n, blob in zip(batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist(), strict=True)]
-        return Suffixes.unpack(blobs, layout) if blobs else suffixes_of([], np.empty(0, np.int64), np.empty(0, np.int64), layout)
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
+        """The suffixes of one bucket after the other: a partition is sorted by bucket."""
+        held, blobs = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket = batch.column(0)[i].as_py()
+                if blobs and bucket != held:
+                    yield Suffixes.unpack(blobs, layout)
+                    blobs = []
+                held = bucket
+                blobs.append((batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
+        if blobs:
+            yield Suffixes.unpack(blobs, layout)
 
     def spans(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         for doc, digest, start, end in found:
@@ -373,34 +385,37 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
                 yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(digest[k]), pa.array(start[k].astype(np.int64)), pa.array(end[k].astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], _FOUND_NAMES)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = gathered(batches, 0)
-        if not len(s):
-            return
-        s = s.take(alike(s, layout)) if not len(often.value) else s.take(np.union1d(alike(s, layout), np.flatnonzero(np.isin(s.grams(layout), often.value))))
-        kept, found = settle_equal(s, layout)
-        del s
-        yield from spans(found)
-        passed = np.isin(kept.grams(layout), often.value)
-        yield from spans(settle_windows(kept.take(np.flatnonzero(~passed)), layout))
-        if passed.any():
-            on = kept.take(np.flatnonzero(passed))
-            at = np.searchsorted(often.value, on.grams(layout))
-            for gram in np.unique(at):
-                part = on.take(np.flatnonzero(at == gram))
-                none = [pa.nulls(1, pa.int64())] * 4
-                yield pa.RecordBatch.from_arrays([*none, pa.array([int(gram)], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([part.pack(layout)], pa.binary())], _FOUND_NAMES)
+        for s in gathered(batches):
+            s = s.take(alike(s, layout)) if not len(often.value) else s.take(np.union1d(alike(s, layout), np.flatnonzero(np.isin(s.grams(layout), often.value))))
+            kept, found = settle_equal(s, layout)
+            del s
+            yield from spans(found)
+            passed = np.isin(kept.grams(layout), often.value)
+            yield from spans(settle_windows(kept.take(np.flatnonzero(~passed)), layout))
+            if passed.any():
+                on = kept.take(np.flatnonzero(passed))
+                at = np.searchsorted(often.value, on.grams(layout))
+                for gram in np.unique(at):
+                    part = on.take(np.flatnonzero(at == gram))
+                    none = [pa.nulls(1, pa.int64())] * 4
+                    yield pa.RecordBatch.from_arrays([*none, pa.array([int(gram)], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([part.pack(layout)], pa.binary())], _FOUND_NAMES)
 
     def settle_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = gathered(batches, 0)
-        if len(s):
+        for s in gathered(batches):
             kept, found = settle_equal(s, layout)
             yield from spans([*found, *settle_windows(kept, layout)])
 
-    found = rows.mapInArrow(scatter, _BLOBS).repartitionById(buckets, F.col("bucket")).mapInArrow(settle, _FOUND)
+    def by_bucket(blobs: DataFrame, count: int) -> DataFrame:
+        """Runs of buckets to partitions, each sorted by bucket, so that a task holds one bucket at a time."""
+        n = min(MAX_PARTITIONS, count)
+        at = F.floor(F.col("bucket").cast("long") * n / count).cast("int")
+        return blobs.repartitionById(n, at).sortWithinPartitions("bucket")
+
+    found = by_bucket(rows.mapInArrow(scatter, _BLOBS), buckets).mapInArrow(settle, _FOUND)
     if not len(frequent):
         return found.select("doc", "digest", "start", "end")
     found = cut(found)
-    across = found.where("data IS NOT NULL").select("bucket", "n", "data").repartitionById(len(frequent), F.col("bucket")).mapInArrow(settle_across, _FOUND)
+    across = by_bucket(found.where("data IS NOT NULL").select("bucket", "n", "data"), len(frequent)).mapInArrow(settle_across, _FOUND)
     return found.where("data IS NULL").unionByName(across).select("doc", "digest", "start", "end")
 
 
