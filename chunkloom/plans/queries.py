@@ -198,6 +198,11 @@ def lz77_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz77.with_codes(lz77.tokens(lz77.blocks(streams)))
 
 
+def lz77_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that the tokens of each turn stand for."""
+    return lz77_tokens(spark, sf_dir).groupBy("stream_id").agg(F.sum(F.coalesce("len", F.lit(1))).alias("bytes"))
+
+
 def adjacent_prefix_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.adjacent_prefix_code(byte_histogram(spark, sf_dir))
 
@@ -330,7 +335,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         byte_histogram, symbol_frequency_sort, byte_histogram_by_lang, non_empty_bins, first_occurrence, adler32, crc32_names, byteswap32, dword_bytes, bit_reverse,
         integer_functions, tag_lookup, length_code, distance_code, code_value_roundtrip, filter_scores, filter_choice, fixed_codes, canonical_codes, code_length_histogram,
-        run_lengths, run_length_symbols, run_length_roundtrip, block_32k, lz77_roundtrip, lz77_tokens, adjacent_prefix_code, adjacent_kraft, encoded_bits, chunk_pack_parse,
+        run_lengths, run_length_symbols, run_length_roundtrip, block_32k, lz77_roundtrip, lz77_tokens, lz77_coverage, adjacent_prefix_code, adjacent_kraft, encoded_bits, chunk_pack_parse,
         chunk_counts, chunk_report, idat_concat, text_record, time_record, number_records, image_headers, inflate_roundtrip, inflate_walk, rgb_swap, upscale, display_scale,
         bytes_per_pixel, image_roundtrip,
     )
@@ -411,6 +416,10 @@ SELECT symbol, extra_bits, CAST(sum(k) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) A
 b AS (SELECT doc_id, n, unnest(range((n + 32767) // 32768)) AS block_no FROM d)
 SELECT doc_id AS stream_id, CAST(block_no AS INT) AS block_no, CAST(least(32768, n - block_no * 32768) AS INT) AS size FROM b""",
     "lz77_roundtrip": "SELECT o_orderkey, repeat(o_orderpriority || o_orderstatus, 3) || CAST(o_custkey AS VARCHAR) AS text FROM orders",
+    "lz77_coverage": "SELECT conv_id * 1000 + turn AS stream_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM conversations WHERE octet_length(encode(text)) > 0 GROUP BY ALL",
+    "encoded_bits": f"""WITH v AS (SELECT n_nationkey, regexp_extract_all(hex(encode(n_name)), '..') AS v FROM nation),
+c AS (SELECT n_nationkey, generate_subscripts(v, 1) AS i, 48 + ('0x' || unnest(v))::INT AS c FROM v)
+SELECT n_nationkey, string_agg(lpad(bin(c), 8, '0'), '' ORDER BY i) AS bits, string_agg(printf('%02X', {' + '.join(f'(((c >> {k}) & 1) << {7 - k})' for k in range(8))}), '' ORDER BY i) AS packed FROM c GROUP BY n_nationkey""",
     "adjacent_kraft": f"WITH {_FIRST} SELECT DISTINCT lang, CAST(1.0 AS DOUBLE) AS kraft FROM firsts WHERE value < 128",
     "chunk_pack_parse": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, text FROM conversations",
     "chunk_counts": "SELECT conv_id, 0::BIGINT AS idat, count(*) AS text, 0::BIGINT AS ztxt, count(*) + 1 AS chunks FROM conversations GROUP BY conv_id",
