@@ -49,7 +49,6 @@ REPORTS = (
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:|\n\"«»„“”]")
 _CLAUSE_ENDS, _QUOTES = set(".!?;:|\n"), set("\"«»„“”")
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-CACHE_WORDS = 500_000
 
 Symbol = tuple[str, ...]
 OTHER, END, TARGET, NEGATION, REPORT, QUOTE = ("other",), ("end",), ("target",), ("negation",), ("report",), ("quote",)
@@ -151,27 +150,27 @@ class Grammar:
         for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (_QUOTES, QUOTE), (_CLAUSE_ENDS, END)):
             self.fixed |= {w: (symbol, 0.0) for w in words}
         self.fixed |= {w: ((kind,), weight) for w, (kind, weight) in lexicon.words.items() if weight > 0}
-        self.known = dict(self.fixed)
+        self.hits = {w for w, (symbol, _) in self.fixed.items() if _is_hit(symbol)}
+        self.leads = {stem[: STEM_LENGTHS[0]] for stem in lexicon.stems}
 
-    def _look_up(self, word: str) -> tuple[Symbol, float]:
-        if len(self.known) >= CACHE_WORDS:
-            self.known = dict(self.fixed)
-        found: tuple[Symbol, float] = (OTHER, 0.0)
-        for n in STEM_LENGTHS:
+    def _stem(self, word: str) -> tuple[Symbol, float] | None:
+        """The longest stem that a longer word starts with."""
+        for n in reversed(STEM_LENGTHS):
             if len(word) > n and (weight := self.lexicon.stems.get(word[:n])):
-                found = (("insult",), weight)
-        self.known[word] = found
-        return found
+                return ("insult",), weight
+        return None
 
     def clauses(self, text: str) -> list[tuple[int, float]]:
-        """(class, weight of its strongest hit) of every matched clause."""
+        """(class, weight of its strongest hit) of every matched clause. Texts without a word of the lexicon never reach the transducers."""
         tokens = _TOKEN.findall(text.lower())
-        known = self.known
-        if not any(_is_hit((known.get(w) or self._look_up(w))[0]) for w in set(tokens)):
+        distinct, lead = set(tokens), STEM_LENGTHS[0]
+        stems = {w: found for w in distinct if w[:lead] in self.leads and w not in self.fixed and (found := self._stem(w))}
+        if not stems and self.hits.isdisjoint(distinct):
             return []
+        known, plain = self.fixed | stems, (OTHER, 0.0)
         out, best, state, step = [], None, self.machine.start, self.machine.step
         for token in tokens:
-            symbol, weight = known.get(token) or self._look_up(token)
+            symbol, weight = known.get(token, plain)
             state, marked = step(state, symbol)
             if weight:
                 weak = "negated" if "negated" in marked else "reported" if "reported" in marked else ""
