@@ -24,7 +24,7 @@ from chunkloom.llm.classifier_data import labelled_sample
 from chunkloom.llm.common import held_out
 
 BINS = 12
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 @dataclass(frozen=True)
