@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 WHITE = r"\t-\r \x85\xa0  -     　"
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 END = "</w>"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHE_PAIRS = 2_000_000
 #: Texts whose new words are encoded together.
-STEP = 64
+STEP = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -44,6 +44,27 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+# Ranges that the regex module's Unicode tables count as letters or digits, and the library's older ones do not.
+NEWER_LETTERS = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee
+11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168
+1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e
+2cea2-2cead 323b0-33479 3d000-3fc3f"""
+
+
+def newer_letters() -> str:
+    """A character class of NEWER_LETTERS."""
+    ends = (r.partition("-") for r in NEWER_LETTERS.split())
+    return "[" + "".join(f"{chr(int(a, 16))}-{chr(int(b or a, 16))}" for a, _, b in ends) + "]"
+
+
+def beyond_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
+
+
 class Lookup:
     """Integer keys to integer values, for whole arrays at once; -1 for keys that are not there."""
 
@@ -93,9 +114,12 @@ class WordBpe:
             accepts[node] = i
         self.child, self.accepts = Lookup(list(children), list(children.values())), np.array(accepts, np.int64)
         self.splitter = regex.compile(WORD_PATTERN)
+        self.newer = regex.compile(newer_letters())
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.good_pairs, self.bad_pairs = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.pairs, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)  # judged pairs in order, and the verdicts
+        self.ids_of: dict[str, str] = {}
+        self.names_of: dict[str, str] = {}
+        self._forget()
         self.speculated = self.merged = 0
 
     def merge(self, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,20 +171,38 @@ class WordBpe:
         word = np.concatenate(words)
         return np.concatenate(tokens)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(lengths))
 
-    def _judge(self, pairs: np.ndarray) -> np.ndarray:
+    def _forget(self) -> None:
+        self.ids_of = {t: str(i) for t, i in self.special.items()}
+        self.names_of = {t: t for t in self.special}
+
+    def _verdicts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each code has been judged, and how."""
+        if not len(self.pairs):
+            return np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+        at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+        known = self.pairs[at] == codes
+        return known, known & self.pair_ok[at]
+
+    def _judge(self, codes: np.ndarray) -> np.ndarray:
         """True for each pair code that encodes to itself; a token alone is coded as the pair of stride - 1 and it."""
-        new = pairs[~(np.isin(pairs, self.good_pairs, assume_unique=True) | np.isin(pairs, self.bad_pairs, assume_unique=True))]
-        if len(self.good_pairs) + len(self.bad_pairs) + len(new) > CACHE_PAIRS:
-            self.good_pairs, self.bad_pairs, new = np.empty(0, np.int64), np.empty(0, np.int64), pairs
-        if len(new):
-            left, right = np.divmod(new, self.stride)
-            parts = [self.symbols_of[a] + self.symbols_of[b] for a, b in zip(left.tolist(), right.tolist(), strict=True)]
-            tokens, lengths = self.merge(self.base[np.array([s for p in parts for s in p], np.int64)], np.array([len(p) for p in parts]))
-            last = np.cumsum(lengths) - 1
-            alone = left == self.stride - 1
-            good = (lengths == np.where(alone, 1, 2)) & (tokens[last] == right) & (alone | (tokens[last - 1] == left))
-            self.good_pairs, self.bad_pairs = np.union1d(self.good_pairs, new[good]), np.union1d(self.bad_pairs, new[~good])
-        return np.isin(pairs, self.good_pairs, assume_unique=True)
+        known, good = self._verdicts(codes)
+        if known.all():
+            return good
+        new = np.unique(codes[~known])
+        left, right = np.divmod(new, self.stride)
+        parts = [self.symbols_of[a] + self.symbols_of[b] for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+        tokens, lengths = self.merge(self.base[np.array([s for p in parts for s in p], np.int64)], np.array([len(p) for p in parts]))
+        last = np.cumsum(lengths) - 1
+        alone = left == self.stride - 1
+        ok = (lengths == np.where(alone, 1, 2)) & (tokens[last] == right) & (alone | (tokens[last - 1] == left))
+        if len(self.pairs) + len(new) > CACHE_PAIRS:
+            self.pairs, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
+        merged = np.concatenate([self.pairs, new])
+        order = np.argsort(merged, kind="stable")
+        self.pairs, self.pair_ok = merged[order], np.concatenate([self.pair_ok, ok])[order]
+        late = np.flatnonzero(~known)
+        good[late] = ok[np.searchsorted(new, codes[late])]
+        return good
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each has."""
@@ -172,8 +214,7 @@ class WordBpe:
         first = np.cumsum(counts) - counts
         left = np.concatenate([[0], tokens[:-1]])
         left[first] = self.stride - 1
-        codes, back = np.unique(left * self.stride + tokens, return_inverse=True)
-        fails = np.flatnonzero(np.logical_or.reduceat(~self._judge(codes)[back], first))
+        fails = np.flatnonzero(np.logical_or.reduceat(~self._judge(left * self.stride + tokens), first))
         self.speculated += len(words)
         self.merged += len(fails)
         if not len(fails):
@@ -186,14 +227,15 @@ class WordBpe:
         return tokens[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words = {t: (1, str(i), t) for t, i in self.special.items()}
+        if len(self.ids_of) + len(words) > CACHE_WORDS:
+            self._forget()
         new = list(words)
         tokens, counts = self.encode_words(new)
-        ids, names = [str(i) for i in tokens.tolist()], [self.token_of[i] for i in tokens.tolist()]
+        ids, names = list(map(str, tokens.tolist())), list(map(self.token_of.__getitem__, tokens.tolist()))
         at = 0
         for word, n in zip(new, counts.tolist(), strict=True):
-            self.words[word] = (1, ids[at], names[at]) if n == 1 else (n, " ".join(ids[at : at + n]), " ".join(names[at : at + n]))
+            self.ids_of[word] = ids[at] if n == 1 else " ".join(ids[at : at + n])
+            self.names_of[word] = names[at] if n == 1 else " ".join(names[at : at + n])
             at += n
 
     def pieces(self, text: str) -> list[str]:
@@ -208,24 +250,27 @@ class WordBpe:
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = text.lower()
+            if beyond_latin(text) and self.newer.search(text):  # split as if they were signs, one for one
+                return [text[m.start() : m.end()] for m in self.splitter.finditer(self.newer.sub("\u2bff", text))]
+            return self.splitter.findall(text)
         return self.splitter.findall(text.lower())
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, the ids and the tokens' strings (each joined by spaces) of every text."""
-        for t, i in self.special.items():
-            self.words[t] = 1, str(i), t
-        split = [self.pieces(t) if t else [] for t in texts]
-        for at in range(0, len(split), STEP):
-            if new := set().union(*split[at : at + STEP]).difference(self.words):
+        for at in range(0, len(texts), STEP):
+            split = [self.pieces(t) if t else [] for t in texts[at : at + STEP]]
+            if new := set().union(*split).difference(self.ids_of):
                 self._learn(new)
-            for words in split[at : at + STEP]:
+            for words in split:
                 try:
-                    found = [self.words[w] for w in words]
+                    ids = " ".join(map(self.ids_of.__getitem__, words))
                 except KeyError:  # the store was emptied meanwhile
-                    self._learn(set(words).difference(self.words))
-                    found = [self.words[w] for w in words]
-                counts, ids, tokens = zip(*found, strict=True) if found else ((), (), ())
-                yield sum(counts), " ".join(ids), " ".join(tokens)
+                    self._learn(set(words).difference(self.ids_of))
+                    if any(w not in self.ids_of for w in words):
+                        self._learn(set(words).difference(self.special))
+                    ids = " ".join(map(self.ids_of.__getitem__, words))
+                yield ids.count(" ") + 1 if words else 0, ids, " ".join(map(self.names_of.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for i in next(self.encode_batch([text]))[1].split()]
@@ -271,9 +316,24 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, key: str = "doc_id", tex
 
 
 def encoded_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode_texts(docs, vocabulary_path, with_ids=False)
-    return encoded.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what encode_texts gives.
+
+    They are taken where ids and tokens are made: sent to the JVM, those strings would be three times as large as the texts.
+    """
+    with open(vocabulary_path, "rb") as f:
+        definition = docs.sparkSession.sparkContext.broadcast(f.read())
+    chosen = docs.select("doc_id", "text")
+    key_type = chosen.schema["doc_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(definition.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = [(n, digest(ids), digest(decoded)) for n, ids, decoded in encoder.encode_batch(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return chosen.mapInArrow(work, f"doc_id {key_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def digest(text: str) -> str:
