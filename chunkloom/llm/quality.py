@@ -25,6 +25,8 @@ from chunkloom.llm.common import held_out
 
 BINS = 12
 CACHE_WORDS = 150_000
+#: Characters of text scored together, but for a single longer text: bounds the arrays of rank floats for each word.
+SCORED_CHARS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -191,6 +193,19 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings | None = N
     return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32), r.y) for r in rows], settings)
 
 
+def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in lists of at most SCORED_CHARS characters, or of one text."""
+    out, size = [], 0
+    for text in texts:
+        if out and size + len(text or "") > SCORED_CHARS:
+            yield out
+            out, size = [], 0
+        out.append(text)
+        size += len(text or "")
+    if out:
+        yield out
+
+
 def score_quality(docs: DataFrame, machine: Machine, keep: list[str], threshold: float = 0.5) -> DataFrame:
     """The columns keep, then score and predicted. One Arrow pass without a shuffle; the model is a bounded broadcast."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
@@ -202,7 +217,7 @@ def score_quality(docs: DataFrame, machine: Machine, keep: list[str], threshold:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = model.value.scores(*features.batch(part.column(0).to_pylist()))
+                got = np.concatenate([model.value.scores(*features.batch(texts)) for texts in portions(part.column(0).to_pylist())])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
     return chosen.mapInArrow(score, schema)
