@@ -102,9 +102,10 @@ def test_url_rules_and_terms(spark):
     assert got[11] == got[12] == got[16] == ("", "", None, "allow") and got[13] == ("com", "", None, "allow")
 
 
-def test_url_filter_same_as_sql(spark, sf_dir):
+def test_queries_same_as_sql(spark, sf_dir):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    for t in ("pages", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df, expected = queries.queries()[name](spark, sf_dir), con.sql(sql)
         at = [expected.columns.index(c) for c in df.columns]
