@@ -141,8 +141,8 @@ def test_dense_codes(spark):
 
 def test_checksums(spark):
     df = spark.createDataFrame([(b"",), (b"abc" * 1000,), (bytes(range(256)) * 40,)], "d binary")
-    for r in df.select("d", by.adler32(F.col("d")).alias("a"), by.crc32(F.lit("IEND"), F.col("d")).alias("c")).collect():
-        assert r.a == zlib.adler32(bytes(r.d)) and r.c == zlib.crc32(b"IEND" + bytes(r.d))
+    for r in df.select("d", by.adler32(F.col("d")).alias("a"), by.adler32_closed(F.col("d")).alias("k"), by.crc32(F.lit("IEND"), F.col("d")).alias("c")).collect():
+        assert r.a == r.k == zlib.adler32(bytes(r.d)) and r.c == zlib.crc32(b"IEND" + bytes(r.d))
 
 
 def test_bytes_and_strings(spark):
