@@ -34,6 +34,8 @@ NO_ID = (1 << 63) - 1
 CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 16 << 20
 #: Bytes of text hashed together: bounds the arrays of 8 bytes for each byte of text.
 PART_BYTES = 1 << 19
+#: Longer texts are taken in overlapping segments, each with the windows that start in so many bytes (places within a part have 24 bits).
+SEGMENT_BYTES = 1 << 22
 #: Bits of a text's digest that tell apart rows of equal id.
 DIGEST_MASK = (1 << 24) - 1
 SAMPLES_PER_BUCKET = 200
@@ -104,7 +106,7 @@ class Suffixes:
         return np.ascontiguousarray(self.rows[:, layout.left : layout.left + GRAM]).view(f"S{GRAM}").ravel()
 
 
-def _suffixes_of_part(texts: list[bytes], docs: np.ndarray, digests: np.ndarray, layout: Layout) -> Suffixes:
+def _suffixes_of_part(texts: list[bytes], docs: np.ndarray, digests: np.ndarray, bases: np.ndarray, layout: Layout) -> Suffixes:
     """The suffixes at the anchors of all windows of the texts; windows never cross texts."""
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
@@ -146,18 +148,18 @@ def _suffixes_of_part(texts: list[bytes], docs: np.ndarray, digests: np.ndarray,
     low, high = layout.left - (place - first), layout.left + last + layout.length - place
     rows = np.where((column >= low[:, None]) & (column < high[:, None]), rows, np.uint8(0))
     owner = np.searchsorted(ends, first, side="right")
-    return Suffixes(rows, docs[owner], digests[owner], first - starts[owner], (place - first).astype(np.uint8), (last - first + 1).astype(np.uint8))
+    return Suffixes(rows, docs[owner], digests[owner], first - starts[owner] + bases[owner], (place - first).astype(np.uint8), (last - first + 1).astype(np.uint8))
 
 
-def suffixes_of(texts: list[bytes], docs: np.ndarray, digests: np.ndarray, layout: Layout) -> Suffixes:
-    """The suffixes at the anchors of all windows of the texts, PART_BYTES of text at a time."""
+def suffixes_of(texts: list[bytes], docs: np.ndarray, digests: np.ndarray, bases: np.ndarray, layout: Layout) -> Suffixes:
+    """The suffixes at the anchors of all windows of the texts, PART_BYTES of text at a time. bases: where each text starts in its document."""
     parts, at, size = [], 0, 0
     for i, text in enumerate(texts):
         size += len(text)
         if size >= PART_BYTES or i == len(texts) - 1:
-            parts.append(_suffixes_of_part(texts[at : i + 1], docs[at : i + 1], digests[at : i + 1], layout))
+            parts.append(_suffixes_of_part(texts[at : i + 1], docs[at : i + 1], digests[at : i + 1], bases[at : i + 1], layout))
             at, size = i + 1, 0
-    return Suffixes.join(parts) if parts else _suffixes_of_part([], docs, digests, layout)
+    return Suffixes.join(parts) if parts else _suffixes_of_part([], docs, digests, bases, layout)
 
 
 def tokens(rows: np.ndarray) -> np.ndarray:
@@ -292,26 +294,35 @@ def _identified(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(DIGEST_MASK)).alias("digest"), F.col(text).alias("text"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+def segments(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+    """(start, bytes) of segments that together hold each string of length bytes once, and no other windows."""
+    for start in range(0, max(1, len(text) - length + 1), SEGMENT_BYTES):
+        yield start, text[start : start + SEGMENT_BYTES + length - 1]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, docs, digests, bases) of some CHUNK_BYTES; texts without a window are left out."""
     texts: list[bytes] = []
-    docs: list[int] = []
-    digests: list[int] = []
+    facts: list[tuple[int, int, int]] = []
     size = 0
+
+    def columns() -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        doc, digest, base = (np.array(c, np.int64) for c in zip(*facts, strict=True))
+        return texts, doc, digest, base
+
     for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
         for doc, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
             if text is None or len(text) < least:
                 continue
-            if texts and size + len(text) > CHUNK_BYTES:
-                yield texts, np.array(docs, np.int64), np.array(digests, np.int64)
-                texts, docs, digests, size = [], [], [], 0
-            if len(text) >= 1 << 24:
-                raise ValueError("a text of 16 MB or more must be split first")
-            texts.append(text)
-            docs.append(doc)
-            digests.append(digest)
-            size += len(text)
+            for base, piece in segments(text, least):
+                if texts and size + len(piece) > CHUNK_BYTES:
+                    yield columns()
+                    texts, facts, size = [], [], 0
+                texts.append(piece)
+                facts.append((doc, digest, base))
+                size += len(piece)
     if texts:
-        yield texts, np.array(docs, np.int64), np.array(digests, np.int64)
+        yield columns()
 
 
 def _splitters(rows: DataFrame, buckets: int, total: int, layout: Layout) -> np.ndarray:
@@ -323,8 +334,8 @@ def _splitters(rows: DataFrame, buckets: int, total: int, layout: Layout) -> np.
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(1)
-        for texts, docs, digests in _chunks(batches, layout.length):
-            grams = suffixes_of(texts, docs, digests, layout).grams(layout)
+        for texts, docs, digests, bases in _chunks(batches, layout.length):
+            grams = suffixes_of(texts, docs, digests, bases, layout).grams(layout)
             some = grams[random.random(len(grams)) < share / drawn]
             yield pa.RecordBatch.from_arrays([pa.array([some.astype(f"S{GRAM}").tobytes()], pa.binary())], ["grams"])
 
@@ -350,8 +361,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     often = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, ids, digests in _chunks(batches, layout.length):
-            s = suffixes_of(texts, ids, digests, layout)
+        for texts, ids, digests, bases in _chunks(batches, layout.length):
+            s = suffixes_of(texts, ids, digests, bases, layout)
             if not len(s):
                 continue
             grams = s.grams(layout)

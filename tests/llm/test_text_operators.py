@@ -79,6 +79,21 @@ def test_repeats_with_frequent_leading_strings(spark, monkeypatch):
         assert sum(s.end - s.start for s in x.spans) == sum(masks[x.doc_id, x.text])
 
 
+def test_long_texts_in_segments(docs_rows, monkeypatch):
+    """Segments hold each window once, and give the same suffixes as whole texts."""
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 150)
+    layout = suffix_dedup.Layout(100)
+    texts = [t.encode() for _, t, *_ in docs_rows if len(t.encode()) >= 100]
+    cut = [(i, base, piece) for i, t in enumerate(texts) for base, piece in suffix_dedup.segments(t, 100)]
+    starts = [(i, base + s) for i, base, piece in cut for s in range(len(piece) - 99)]
+    assert sorted(starts) == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 99)] and len(cut) > len(texts)
+    n = len(cut)
+    got = suffix_dedup.suffixes_of([p for *_, p in cut], np.array([i for i, *_ in cut]), np.zeros(n, np.int64), np.array([b for _, b, _ in cut]), layout)
+    whole = suffix_dedup.suffixes_of(texts, np.arange(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), layout)
+    windows = lambda s: sorted((int(d), int(f + k), int(b - k)) for d, f, b, w in zip(s.doc, s.first, s.before.astype(int), s.windows) for k in range(w))
+    assert windows(got) == windows(whole)
+
+
 def test_whole_characters(spark):
     text = "ñandú " * 40
     got = suffix_dedup.without_repeats(spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string"), whole_characters=True).collect()
