@@ -7,7 +7,8 @@ equi-key finds all its candidates; candidates are then verified on all bits.
 
 Equal fingerprints are collapsed before the search. Within a bucket only a spanning forest of the verified links is written, so a large
 group of copies gives no more rows than it has members. With a similarity of shingle sets asked for, each member's nearest partner is
-written too; the sets of these links are then compared exactly, and only links that pass count.
+written too; the sets of these links are then compared exactly, and only links that pass count. Where that leaves what candidates hold
+together in several components, the candidate pairs between those are compared too, in rounds, until none is left.
 
 Cases: null and empty texts have fingerprint zero and are linked like others; texts shorter than a shingle are one shingle; very long
 texts are read whole; repeated rows and ids share a component; null ids never name a component (it is null if no member has an id).
@@ -300,6 +301,42 @@ class Linker:
         close = np.flatnonzero(self.best < 1 << 30)
         return np.concatenate([tree[:, 0], close]), np.concatenate([tree[:, 1], self.partner[close]])
 
+    def across(self, probe: np.ndarray, key: np.ndarray, prints: np.ndarray, checks: np.ndarray, label: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Near pairs of rows of one bucket (equal probe and key, sorted by them) with unlike labels: the nearest most of each row, and whether it has more."""
+        change = np.concatenate([[True], (probe[1:] != probe[:-1]) | (key[1:] != key[:-1])])
+        bucket = np.cumsum(change) - 1
+        counts, starts = np.bincount(bucket), np.flatnonzero(change)
+        mixed = (np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts))[bucket]
+        size = counts[bucket]
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def keep(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+            order = np.lexsort((b, apart, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+            rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+            cut_off = np.repeat(np.diff(np.append(first, len(a))) > most, np.diff(np.append(first, len(a))))
+            found.append((a[rank < most], b[rank < most], cut_off[rank < most]))
+
+        rows = np.flatnonzero(mixed & (size <= SMALL_BUCKET))
+        small = []
+        if len(rows):
+            for left, right, apart in self.small(prints[rows], checks[rows], bucket[rows], size[rows]):
+                unlike = label[rows[left]] != label[rows[right]]
+                small.append((rows[left[unlike]], rows[right[unlike]], apart[unlike]))
+        if small:
+            keep(*(np.concatenate(x) for x in zip(*small)))
+        for b in np.flatnonzero((counts > SMALL_BUCKET) & mixed[starts]):
+            own = np.arange(starts[b], starts[b] + counts[b])
+            step = max(1, BLOCK_CELLS // len(own))
+            for at in range(0, len(own), step):
+                here = own[at : at + step]
+                x, y = np.nonzero((label[here, None] != label[None, own]) & (here[:, None] < own[None, :]))
+                keep(*self.near(prints, checks, here[x], own[y]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     @staticmethod
     def forest(pairs: np.ndarray, n: int) -> np.ndarray:
         label = local_forest(pairs[:, 0], pairs[:, 1], n)
@@ -307,62 +344,85 @@ class Linker:
         return np.stack([moved, label[moved]], 1)
 
 
+def bucket_rows(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """probe, key and the columns of nodes: a row for each node and mask, dealt and sorted by the masked bits."""
+    # a constant array and a lambda: a CASE or struct for each mask would make generated code grow with their number
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    probes = F.transform(signed, lambda m, i: F.struct(i.alias("probe"), F.col("fp").bitwiseAND(m).alias("key")))
+    rows = nodes.select(*nodes.columns, F.explode(probes).alias("p")).select("p.probe", "p.key", *nodes.columns)
+    return rows.repartition("probe", "key").sortWithinPartitions("probe", "key")
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of bucket_rows as arrays; each portion holds whole buckets. check comes as four numbers a row."""
+
+    def joined(parts: list[list]) -> list[np.ndarray]:
+        return [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+    held: list[list] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = []
+        for name, column in zip(batch.schema.names, batch.columns, strict=True):
+            if name == "check":
+                columns.append(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 4))
+            else:
+                columns.append(column.to_numpy(zero_copy_only=False).view(np.uint64) if name == "fp" else column.to_numpy(zero_copy_only=False))
+        probe, key = columns[:2]
+        same = (probe == probe[-1]) & (key == key[-1])
+        last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if last or (held and (held[-1][0][-1], held[-1][1][-1]) != (probe[0], key[0])):
+            yield joined([*held, [c[:last] for c in columns]] if last else held)
+            held = []
+        held.append([c[last:] for c in columns])
+    if held:
+        yield joined(held)
+
+
 def bucket_links(nodes: DataFrame, masks: list[int], settings: Settings) -> DataFrame:
     """a, b: links between nodes (node, fp, check) whose fingerprints agree under one of masks and are near enough.
 
     One shuffle of a row for each node and mask, by the masked bits; buckets are then read from sorted partitions as a stream.
     """
     checked = settings.check_words is not None
-    # a constant array and a lambda: a CASE or struct for each mask would make generated code grow with their number
-    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
-    probes = F.transform(signed, lambda m, i: F.struct(i.alias("probe"), F.col("fp").bitwiseAND(m).alias("key")))
-    rows = nodes.select("node", "fp", *(["check"] if checked else []), F.explode(probes).alias("p")).select("p.probe", "p.key", "node", "fp", *(["check"] if checked else []))
-    dealt = rows.repartition("probe", "key").sortWithinPartitions("probe", "key")
+    dealt = bucket_rows(nodes.select("node", "fp", *(["check"] if checked else [])), masks)
     linker = Linker(settings)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            probe, key, node, prints = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            checks = np.concatenate([p[4] for p in parts]) if checked else None
-            a, b = linker.links(probe, key, prints, checks, masks)
+        for probe, key, node, prints, *checks in whole_buckets(batches):
+            a, b = linker.links(probe, key, prints, checks[0] if checks else None, masks)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-        held: list[tuple] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            columns[3] = columns[3].view(np.uint64)
-            if checked:
-                columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, 4))
-            probe, key = columns[:2]
-            same = (probe == probe[-1]) & (key == key[-1])
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if last or (held and (held[-1][0][-1], held[-1][1][-1]) != (probe[0], key[0])):
-                done = [*held, tuple(c[:last] for c in columns)] if last else held
-                yield from found(done)
-                held = []
-            held.append(tuple(c[last:] for c in columns))
-        if held:
-            yield from found(held)
-
     return dealt.mapInArrow(work, "a long, b long")
 
 
+def pairs_across(nodes: DataFrame, masks: list[int], settings: Settings, most: int) -> DataFrame:
+    """a, b, more: candidate pairs of bucket_links between nodes (node, fp, check, label) with unlike labels.
+
+    A row of a bucket gives its nearest most partners; more says that it has others.
+    """
+    dealt = bucket_rows(nodes.select("node", "fp", "check", "label"), masks)
+    linker = Linker(settings)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for probe, key, node, prints, checks, label in whole_buckets(batches):
+            a, b, more = linker.across(probe, key, prints, checks, label, most)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(more)], ["a", "b", "more"])
+
+    return dealt.mapInArrow(work, "a long, b long, more boolean")
+
+
 def set_hashes(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 32-bit hashes of a text's shingles."""
     return np.unique(shingle_hashes((text or "").encode().lower().split(), size) >> np.uint64(32)).astype("<u4")
 
 
-def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """The links (a, b) whose shingle sets are similar enough, compared exactly.
-
-    Only documents that a candidate link names are turned into sets, one for each node. Links are joined with the sets of both ends;
-    their number is linear in that of the nodes, and the joins' skew is the engine's to split. A node without any id is not found
-    again by id; its links count unseen.
-    """
-    size, similarity = settings.check_words, settings.similarity
+def node_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """node, set: the shingle sets of the nodes that links (a, b) name. A node without any id is not found again by id and has none."""
+    size = settings.check_words
     named = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.where("first_id IS NOT NULL").select("node", "first_id"), "node")
     texts = docs.join(named, docs.doc_id == named.first_id).groupBy("node").agg(F.min("text").alias("text"))
 
@@ -370,7 +430,15 @@ def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, settings
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hashes(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "set"])
 
-    sets = cut(texts.mapInArrow(hash_sets, "node long, set binary"))
+    return cut(texts.mapInArrow(hash_sets, "node long, set binary"))
+
+
+def verified_links(links: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The links (a, b) whose shingle sets are similar enough, compared exactly.
+
+    Links are joined with the sets of both ends; the joins' skew is the engine's to split. Links of a node without a set count unseen.
+    """
+    similarity = settings.similarity
     first = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a", "left")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b", "left").select("a", "b", "set_a", "set_b")
 
@@ -389,6 +457,42 @@ def verified_links(links: DataFrame, nodes: DataFrame, docs: DataFrame, settings
     return both.mapInArrow(compare, "a long, b long")
 
 
+#: Partners of a row in a bucket that the first round between components compares; each further round takes this many times as many.
+ROUND = 8
+
+
+def similar_components(nodes: DataFrame, masks: list[int], docs: DataFrame, settings: Settings) -> DataFrame:
+    """node, root as connected_components gives them, over all candidate pairs whose sets are similar enough.
+
+    The first links are a spanning forest of the candidates and nearest partners. Where some of them fail, what the forest joins may hold
+    several components; only the nodes of such parts are probed again, and only pairs between components are compared. A round takes each
+    row's nearest partners, the next more of them, until no row has any left over: then every candidate pair was compared or lies within
+    a component. Pairs within a component, which grow with the square of a group of copies, are never written.
+    """
+    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    tested = cut(bucket_links(nodes, masks, settings).select(*ordered).distinct())
+    sets = node_sets(tested, nodes, docs, settings)
+    passed = cut(verified_links(tested, sets, settings))
+    parts = connected_components(tested)
+    parts = cut(parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct()))
+    most = ROUND
+    while True:
+        roots = connected_components(passed)
+        labelled = parts.withColumnRenamed("root", "part").join(roots, "node", "left").select("node", "part", F.coalesce("root", "node").alias("label"))
+        split = labelled.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("part").alias("a"), F.lit(1).alias("m"))
+        unsettled = with_least(labelled.select(F.col("part").alias("a"), F.col("node").alias("b"), "label"), split).select(F.col("b").alias("node"), "label")
+        unsettled = cut(nodes.select("node", "fp", "check").join(unsettled, "node"))
+        if unsettled.isEmpty():
+            return roots
+        pairs = cut(pairs_across(unsettled, masks, settings, most).select(*ordered, "more").groupBy("a", "b").agg(F.max("more").alias("more")))
+        fresh = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        passed = cut(passed.unionByName(verified_links(fresh, sets, settings)))
+        if pairs.where("more").isEmpty():
+            return connected_components(passed)
+        tested = cut(tested.unionByName(fresh))
+        most *= ROUND
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest id among all rows that links lead to.
 
@@ -399,11 +503,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     prints = prints.withColumn("node", node)
     nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.min("doc_id").alias("first_id")))
     masks = probe_masks(plan_partitions(*bit_counts(nodes), settings.distance))
-    links = bucket_links(nodes, masks, settings)
-    if settings.check_words is not None:
-        links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        links = verified_links(links, nodes, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), settings)
-    roots = connected_components(links)
+    if settings.check_words is None:
+        roots = connected_components(bucket_links(nodes, masks, settings))
+    else:
+        roots = similar_components(nodes, masks, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), settings)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("m"))
     members = rooted.select(F.col("root").alias("a"), F.col("node").alias("b"))

@@ -254,3 +254,32 @@ def test_near_copies_of_one_word(spark):
     rows += [(100 + i, sentence(r, 300), "", "", 1) for i in range(40)]
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, DOCS), simhash.FIVE_WORDS).collect()}
     assert sum(got[i] == 0 for i in range(32)) >= 31 and all(got[100 + i] == 100 + i for i in range(40))
+
+
+def exact_components(sets, least=0.8):
+    """The smallest id that each id reaches over pairs of sets that are similar enough; compared one by one."""
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and label[a] != label[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    return label
+
+
+def test_candidates_that_a_forest_leaves_out_are_compared(spark):
+    """Families of versions that drift from one another: many candidate pairs are under 0.8, so a forest of candidates does not hold the links."""
+    r = random.Random(31)
+    texts = []
+    for versions in (12, 30, 12, 30, 12, 30):
+        line = sentence(r, 400).split()
+        for _ in range(versions):
+            texts.append(" ".join(line))
+            for _ in range(r.choice((3, 5, 7, 9))):
+                k = r.randrange(len(line))
+                line = [*line[:k], f"new{r.randrange(10**6)}", *line[k + 1 :]]
+    r.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "", "", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, simhash.FIVE_WORDS).collect()}
+    expected = exact_components({i: shingles(t) for i, t in enumerate(texts)})
+    assert got == expected and 6 <= len(set(expected.values())) < len(texts)
