@@ -5,7 +5,11 @@ thresholds (-1 or more) add up to t - m + 1. Correlated bits share a partition;
 dynamic programming over estimated candidate counts. A partition with threshold s is probed under each choice of s masked bits, so one
 equi-key finds all its candidates; candidates are then verified on all bits.
 
-Equal fingerprints are collapsed before the search. Within a bucket only a spanning forest of the verified links is written, so a large
+Where sets of shingles are to be compared, texts are candidates if they share one of several bands instead: tuples of least hashes of
+those same sets. Whether a pair of a given similarity shares a band does not hang on where the texts differ, so replaced, appended or cut
+paragraphs are found as well as scattered words.
+
+Equal fingerprints (or sets) are collapsed before the search. Within a bucket only a spanning forest of the verified links is written, so a large
 group of copies gives no more rows than it has members. With a similarity of shingle sets asked for, each member's nearest partner is
 written too; the sets of these links are then compared exactly, and only links that pass count. Where that leaves what candidates hold
 together in several components, the candidate pairs between those are compared too, in rounds, until none is left.
@@ -45,9 +49,10 @@ HELD_LINKS = 300_000
 class Settings:
     """What is fingerprinted and how near counts.
 
-    words, distinct: shingles of the probed fingerprint, and whether repeats count once. check_words, similarity: if given, a link also
-    needs sets of shingles of check_words of at least this Jaccard similarity. A 256-bit SimHash over these shingles picks the candidates
-    whose sets are compared.
+    words, distinct: shingles of the fingerprint, and whether repeats count once. check_words, similarity: if given, a link needs sets of
+    shingles of check_words of at least this Jaccard similarity, whatever the distance of the fingerprints. Candidates share one of bands
+    tuples of band_rows least hashes: at similarity J a pair is missed with probability (1 - J ** band_rows) ** bands. A 256-bit SimHash
+    over the same shingles picks the candidates whose sets are compared.
     """
 
     words: int = 3
@@ -55,16 +60,18 @@ class Settings:
     distance: int = 3
     check_words: int | None = None
     similarity: float = 0.8
+    bands: int = 24
+    band_rows: int = 4
 
     @property
     def check_distance(self) -> int:
-        """Expected distance at this similarity plus three standard deviations, so that hardly a link at the limit is missed."""
+        """Expected distance at this similarity plus five standard deviations, so that hardly a link at the limit is missed."""
         share = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
-        return int(256 * share + 3 * math.sqrt(256 * share * (1 - share)))
+        return int(256 * share + 5 * math.sqrt(256 * share * (1 - share)))
 
 
-#: Links of the pipeline's stage: five-word shingles with a similarity of 0.8; found by fingerprints of distinct words within 7 bits.
-FIVE_WORDS = Settings(words=1, distinct=True, distance=7, check_words=5)
+#: Links of the pipeline's stage: five-word shingles with a similarity of 0.8. Of pairs at just 0.8 the bands miss 3 in a million.
+FIVE_WORDS = Settings(words=1, distinct=True, check_words=5)
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -99,26 +106,52 @@ def _spread(hashes: np.ndarray, times: int) -> list[np.ndarray]:
     return out
 
 
-def text_fingerprint(text: str | None, settings: Settings) -> tuple[int, bytes | None]:
+def band_keys(hashes: np.ndarray, settings: Settings) -> np.ndarray:
+    """A number for each band: a digest of the band_rows least hashes of the set, each under its own multiplier."""
+    n = settings.bands * settings.band_rows
+    times = np.random.default_rng(SEED).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(n, MASK, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, (times[:, None] * hashes[None, at : at + 4096]).min(1))
+    rows, keys = least.reshape(settings.bands, settings.band_rows), np.zeros(settings.bands, np.uint64)
+    for i in range(settings.band_rows):
+        keys = _spread(keys ^ rows[:, i], 1)[0]
+    return keys
+
+
+def text_fingerprint(text: str | None, settings: Settings) -> tuple[int, bytes | None, np.ndarray | None, int | None]:
+    """The fingerprint; of the set of check_words its 256-bit SimHash, band keys and digest."""
     words = (text or "").encode().lower().split()
     hashes = shingle_hashes(words, settings.words)
     probe = majority(np.unique(hashes) if settings.distinct else hashes)
     if settings.check_words is None:
-        return probe, None
-    return probe, np.array([majority(h) for h in _spread(np.unique(shingle_hashes(words, settings.check_words)), 4)], np.uint64).tobytes()
+        return probe, None, None, None
+    hashes = np.unique(shingle_hashes(words, settings.check_words))
+    return probe, np.array([majority(h) for h in _spread(hashes, 4)], np.uint64).tobytes(), band_keys(hashes, settings), xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
 def fingerprint_rows(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), check (32 bytes or null); one Arrow pass without a shuffle."""
+    """doc_id, fp (the 64 bits as a signed long), check (32 bytes or null), bands (longs or null), node; one Arrow pass without a shuffle.
+
+    node is fp, or, where sets are to be compared, the digest of the set: rows of one node have one set.
+    """
     chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     key_type = chosen.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "fp", "check", "bands", "node"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_fingerprint(t, settings) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64)), pa.array([c for _, c in found], pa.binary())], ["doc_id", "fp", "check"])
+            prints = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
+            if settings.check_words is None:
+                checks, bands, node = pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.list_(pa.int64())), prints
+            else:
+                keys = np.array([f[2] for f in found], np.uint64).reshape(-1).view(np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * settings.bands), pa.array(keys))
+                checks, node = pa.array([f[1] for f in found], pa.binary()), pa.array(np.array([f[3] for f in found], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, checks, bands, node], names)
 
-    return chosen.mapInArrow(work, f"doc_id {key_type}, fp long, check binary")
+    return chosen.mapInArrow(work, f"doc_id {key_type}, fp long, check binary, bands array<long>, node long")
 
 
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -201,7 +234,7 @@ class Linker:
     """Finds the verified links among the rows of buckets and keeps a spanning forest of them."""
 
     def __init__(self, settings: Settings) -> None:
-        self.distance = settings.distance
+        self.distance = settings.distance if settings.check_words is None else BITS
         self.check = settings.check_distance if settings.check_words is not None else None
 
     def near(self, prints: np.ndarray, checks: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,7 +308,7 @@ class Linker:
         moved = np.flatnonzero(label != np.arange(len(rows)))
         return np.stack([rows[moved], rows[label[moved]]], 1)
 
-    def links(self, probe: np.ndarray, key: np.ndarray, prints: np.ndarray, checks: np.ndarray | None, masks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, probe: np.ndarray, key: np.ndarray, prints: np.ndarray, checks: np.ndarray | None, masks: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of a spanning forest over whole buckets (equal probe and key, sorted by them); with checks, of nearest partners too."""
         self.best, self.partner = np.full(len(probe), 1 << 30), np.zeros(len(probe), np.int64)
         change = np.concatenate([[True], (probe[1:] != probe[:-1]) | (key[1:] != key[:-1])])
@@ -296,7 +329,7 @@ class Linker:
         starts = np.flatnonzero(change)
         for b in np.flatnonzero(counts > SMALL_BUCKET):
             own = np.arange(starts[b], starts[b] + counts[b])
-            pairs.append(self.large(prints, checks, own, [i for i in range(BITS) if not masks[probe[own[0]]] >> i & 1]))
+            pairs.append(self.large(prints, checks, own, [] if masks is None else [i for i in range(BITS) if not masks[probe[own[0]]] >> i & 1]))
         tree = self.forest(np.concatenate([p for p in pairs if len(p)] or [np.empty((0, 2), np.int64)]), len(probe))
         close = np.flatnonzero(self.best < 1 << 30)
         return np.concatenate([tree[:, 0], close]), np.concatenate([tree[:, 1], self.partner[close]])
@@ -344,12 +377,16 @@ class Linker:
         return np.stack([moved, label[moved]], 1)
 
 
-def bucket_rows(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """probe, key and the columns of nodes: a row for each node and mask, dealt and sorted by the masked bits."""
-    # a constant array and a lambda: a CASE or struct for each mask would make generated code grow with their number
-    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
-    probes = F.transform(signed, lambda m, i: F.struct(i.alias("probe"), F.col("fp").bitwiseAND(m).alias("key")))
-    rows = nodes.select(*nodes.columns, F.explode(probes).alias("p")).select("p.probe", "p.key", *nodes.columns)
+def bucket_rows(nodes: DataFrame, masks: list[int] | None) -> DataFrame:
+    """probe, key and the columns of nodes: a row for each node and mask, dealt and sorted by the masked bits; without masks, by bands."""
+    columns = [c for c in nodes.columns if c != "bands"]
+    if masks is None:
+        probes = F.transform("bands", lambda key, i: F.struct(i.alias("probe"), key.alias("key")))
+    else:
+        # a constant array and a lambda: a CASE or struct for each mask would make generated code grow with their number
+        signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+        probes = F.transform(signed, lambda m, i: F.struct(i.alias("probe"), F.col("fp").bitwiseAND(m).alias("key")))
+    rows = nodes.select(*columns, F.explode(probes).alias("p")).select("p.probe", "p.key", *columns)
     return rows.repartition("probe", "key").sortWithinPartitions("probe", "key")
 
 
@@ -380,13 +417,13 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield joined(held)
 
 
-def bucket_links(nodes: DataFrame, masks: list[int], settings: Settings) -> DataFrame:
-    """a, b: links between nodes (node, fp, check) whose fingerprints agree under one of masks and are near enough.
+def bucket_links(nodes: DataFrame, masks: list[int] | None, settings: Settings) -> DataFrame:
+    """a, b: links between nodes (node, fp; check, bands) whose fingerprints agree under one of masks, or which share a band, and are near enough.
 
-    One shuffle of a row for each node and mask, by the masked bits; buckets are then read from sorted partitions as a stream.
+    One shuffle of a row for each node and mask or band; buckets are then read from sorted partitions as a stream.
     """
     checked = settings.check_words is not None
-    dealt = bucket_rows(nodes.select("node", "fp", *(["check"] if checked else [])), masks)
+    dealt = bucket_rows(nodes.select("node", "fp", *(["check", "bands"] if checked else [])), masks)
     linker = Linker(settings)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,12 +435,12 @@ def bucket_links(nodes: DataFrame, masks: list[int], settings: Settings) -> Data
     return dealt.mapInArrow(work, "a long, b long")
 
 
-def pairs_across(nodes: DataFrame, masks: list[int], settings: Settings, most: int) -> DataFrame:
-    """a, b, more: candidate pairs of bucket_links between nodes (node, fp, check, label) with unlike labels.
+def pairs_across(nodes: DataFrame, settings: Settings, most: int) -> DataFrame:
+    """a, b, more: candidate pairs of bucket_links between nodes (node, fp, check, bands, label) with unlike labels.
 
     A row of a bucket gives its nearest most partners; more says that it has others.
     """
-    dealt = bucket_rows(nodes.select("node", "fp", "check", "label"), masks)
+    dealt = bucket_rows(nodes.select("node", "fp", "check", "label", "bands"), None)
     linker = Linker(settings)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +498,7 @@ def verified_links(links: DataFrame, sets: DataFrame, settings: Settings) -> Dat
 ROUND = 8
 
 
-def similar_components(nodes: DataFrame, masks: list[int], docs: DataFrame, settings: Settings) -> DataFrame:
+def similar_components(nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """node, root as connected_components gives them, over all candidate pairs whose sets are similar enough.
 
     The first links are a spanning forest of the candidates and nearest partners. Where some of them fail, what the forest joins may hold
@@ -470,25 +507,27 @@ def similar_components(nodes: DataFrame, masks: list[int], docs: DataFrame, sett
     a component. Pairs within a component, which grow with the square of a group of copies, are never written.
     """
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    tested = cut(bucket_links(nodes, masks, settings).select(*ordered).distinct())
+    tested = cut(bucket_links(nodes, None, settings).select(*ordered).distinct())
     sets = node_sets(tested, nodes, docs, settings)
     passed = cut(verified_links(tested, sets, settings))
     parts = connected_components(tested)
     parts = cut(parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct()))
-    most = ROUND
+    most, roots = ROUND, connected_components(passed)
     while True:
-        roots = connected_components(passed)
         labelled = parts.withColumnRenamed("root", "part").join(roots, "node", "left").select("node", "part", F.coalesce("root", "node").alias("label"))
         split = labelled.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("part").alias("a"), F.lit(1).alias("m"))
         unsettled = with_least(labelled.select(F.col("part").alias("a"), F.col("node").alias("b"), "label"), split).select(F.col("b").alias("node"), "label")
-        unsettled = cut(nodes.select("node", "fp", "check").join(unsettled, "node"))
+        unsettled = cut(nodes.select("node", "fp", "check", "bands").join(unsettled, "node"))
         if unsettled.isEmpty():
             return roots
-        pairs = cut(pairs_across(unsettled, masks, settings, most).select(*ordered, "more").groupBy("a", "b").agg(F.max("more").alias("more")))
+        pairs = cut(pairs_across(unsettled, settings, most).select(*ordered, "more").groupBy("a", "b").agg(F.max("more").alias("more")))
         fresh = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        passed = cut(passed.unionByName(verified_links(fresh, sets, settings)))
+        joined = cut(verified_links(fresh, sets, settings))
+        if not joined.isEmpty():
+            passed = cut(passed.unionByName(joined))
+            roots = connected_components(passed)
         if pairs.where("more").isEmpty():
-            return connected_components(passed)
+            return roots
         tested = cut(tested.unionByName(fresh))
         most *= ROUND
 
@@ -499,14 +538,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str =
     Texts are read once. What is shuffled are fingerprints: distinct ones, then probe rows, then links; only bit sums reach the driver.
     """
     prints = cut(fingerprint_rows(docs, settings, key, text))
-    node = F.col("fp") if settings.check_words is None else F.xxhash64("fp", "check")
-    prints = prints.withColumn("node", node)
-    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.min("doc_id").alias("first_id")))
-    masks = probe_masks(plan_partitions(*bit_counts(nodes), settings.distance))
+    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.first("bands").alias("bands"), F.min("doc_id").alias("first_id")))
     if settings.check_words is None:
-        roots = connected_components(bucket_links(nodes, masks, settings))
+        roots = connected_components(bucket_links(nodes, probe_masks(plan_partitions(*bit_counts(nodes), settings.distance)), settings))
     else:
-        roots = similar_components(nodes, masks, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), settings)
+        roots = similar_components(nodes, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), settings)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("m"))
     members = rooted.select(F.col("root").alias("a"), F.col("node").alias("b"))

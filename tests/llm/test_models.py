@@ -136,7 +136,6 @@ def test_association_sign():
     assert toxicity.association(10, 0, 20, 200) > 20 > 0 > toxicity.association(0, 50, 20, 200)
     assert toxicity.association(1, 10, 20, 200) == pytest.approx(0, abs=1e-9)
 
-
 # --- nearest neighbours ---
 
 
@@ -283,3 +282,23 @@ def test_candidates_that_a_forest_leaves_out_are_compared(spark):
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, simhash.FIVE_WORDS).collect()}
     expected = exact_components({i: shingles(t) for i, t in enumerate(texts)})
     assert got == expected and 6 <= len(set(expected.values())) < len(texts)
+
+
+def test_replaced_and_appended_paragraphs_are_candidates(spark):
+    """One contiguous change that leaves 0.8 to 0.9 of the five-word sets in common; every such pair is linked, none below 0.8 is."""
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    zipf = [1 / (i + 1) for i in range(5000)]
+    texts = []
+    for k in range(60):
+        n = r.choice((60, 150, 400, 1000))
+        line = r.choices(vocabulary, zipf, k=n)
+        size = max(1, int(n * r.uniform(0.04, 0.22)))
+        at = r.randrange(n - size)
+        block = r.choices(vocabulary, zipf, k=size)
+        texts += [" ".join(line), " ".join((line[:at] + block + line[at + size :], line + block, line[:at] + line[at + size :])[k % 3])]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    likeness = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)}
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame([(i, t, "", "", 1) for i, t in enumerate(texts)], DOCS), simhash.FIVE_WORDS).collect()}
+    assert sum(0.8 <= j < 0.9 for j in likeness.values()) > 15 and min(likeness.values()) < 0.8
+    assert got == {i: i - 1 if i % 2 and likeness[i - 1] >= 0.8 else i for i in got}
