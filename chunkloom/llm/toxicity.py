@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.classifier_data import labelled_sample
@@ -206,21 +206,39 @@ def _terms(text: str | None) -> set[str]:
     return words | {f"{w[:n]}*" for n in STEM_LENGTHS for w in words if len(w) > n}
 
 
-def _term_counts(sample: DataFrame, y: int, only: frozenset[str] | None) -> DataFrame:
+#: Terms that a task counts before it sends their numbers on.
+HELD_TERMS = 500_000
+
+
+def _term_counts(sample: DataFrame, y: int) -> DataFrame:
     """term, n: documents of class y that hold it; counted in each task before the shuffle."""
-    wanted = sample.sparkSession.sparkContext.broadcast(only)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                terms = _terms(text)
-                seen.update(terms if wanted.value is None else terms & wanted.value)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                seen.update(_terms(text))
+                if len(seen) > HELD_TERMS:
+                    yield sent()
+                    seen = Counter()
+        yield sent()
 
     return sample.where(F.col("y") == y).select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _association_column(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """association() of columns a and b."""
+    out = F.lit(0.0)
+    for got, of in ((a, n1), (b, n0)):
+        mean = (a + b) * of / (n1 + n0)
+        for x, m in ((got, mean), (of - got, of - mean)):
+            out += F.when((x > 0) & (m > 0), 2 * x * F.log(x / m)).otherwise(0.0)
+    return F.when(a * n0 > b * n1, out).otherwise(-out)
+
+
 def association(a: int, b: int, n1: int, n0: int) -> float:
     """Signed likelihood ratio (G squared) of a term that a of n1 toxic and b of n0 other documents hold."""
     out = 0.0
@@ -231,22 +249,26 @@ def association(a: int, b: int, n1: int, n0: int) -> float:
     return out if a * n0 > b * n1 else -out
 
 
-def learn_lexicon(sample: DataFrame, n1: int, n0: int, max_candidates: int = 20_000, max_entries: int = 4096, least_g2: float = 20.0, least_ratio: float = 6.0) -> Lexicon:
-    """The starting lexicon, reweighed, plus at most max_entries words and stems that mark toxic rows of the (bounded) sample."""
+def learn_lexicon(sample: DataFrame, n1: int, n0: int, max_entries: int = 4096, least_g2: float = 20.0, least_ratio: float = 6.0) -> Lexicon:
+    """The starting lexicon, reweighed, plus at most max_entries words and stems that mark toxic rows of the (bounded) sample.
+
+    Every term that three toxic rows hold is tested, where the terms are counted; only the best and the starting words reach the driver.
+    """
     lexicon = Lexicon()
     if not n1 or not n0:
         return lexicon
-    most = _term_counts(sample, 1, None).where("n >= 3").orderBy(F.desc("n"), "term").limit(max_candidates).collect()
-    a = {r.term: r.n for r in most}
-    b = {r.term: r.n for r in _term_counts(sample, 0, frozenset(a) | frozenset(lexicon.words)).collect()}
+    toxic, clean = (_term_counts(sample, y).withColumnRenamed("n", name) for y, name in ((1, "a"), (0, "b")))
+    started = F.col("term").isin(list(lexicon.words))
+    counts = cut(toxic.join(clean, "term", "full").fillna(0, ["a", "b"]).where((F.col("a") >= 3) | started))
+    marks = counts.where((F.col("a") >= 3) & (F.col("a") / n1 >= least_ratio * F.col("b") / n0)).withColumn("g2", _association_column(F.col("a"), F.col("b"), n1, n0))
+    best = marks.where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), F.desc("term")).limit(max_entries).collect()
+    known = {r.term: r for r in [*counts.where(started).collect(), *best]}
+    a, b = {t: r.a for t, r in known.items()}, {t: r.b for t, r in known.items()}
     odds = lambda t: math.log((a.get(t, 0) + 0.5) / (n1 + 1)) - math.log((b.get(t, 0) + 0.5) / (n0 + 1))
     for word, (kind, _) in list(lexicon.words.items()):
         if a.get(word, 0) + b.get(word, 0) >= 5:
             lexicon.words[word] = (kind, max(0.0, min(6.0, odds(word))))
-    good = [(association(n, b.get(t, 0), n1, n0), t) for t, n in a.items() if n / n1 >= least_ratio * b.get(t, 0) / n0]
-    for g2, term in sorted(good, reverse=True)[:max_entries]:
-        if g2 < least_g2:
-            break
+    for term in (r.term for r in best):
         if term.endswith("*"):
             lexicon.stems[term[:-1]] = min(6.0, odds(term))
         elif term not in lexicon.words:

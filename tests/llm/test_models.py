@@ -136,6 +136,16 @@ def test_association_sign():
     assert toxicity.association(10, 0, 20, 200) > 20 > 0 > toxicity.association(0, 50, 20, 200)
     assert toxicity.association(1, 10, 20, 200) == pytest.approx(0, abs=1e-9)
 
+
+def test_every_term_of_the_sample_is_tested(spark):
+    """A toxic word that is rarer than over 20,000 neutral words and stems is learnt all the same, and no neutral one is."""
+    r = random.Random(8)
+    neutral = " ".join("".join(r.choices("abcdefghijklmnop", k=12)) for _ in range(5000))
+    rows = [(i, neutral + (" zorkinuma" if i < 20 else ""), int(i < 40)) for i in range(120)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3), 40, 80)
+    assert set(lexicon.words) - set(toxicity.Lexicon().words) == {"zorkinuma"} and lexicon.stems and all("zorkinuma".startswith(s) for s in lexicon.stems)
+
+
 # --- nearest neighbours ---
 
 
