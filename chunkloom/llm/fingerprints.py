@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import shuffle_width
+from chunkloom.llm.common import power_tables, shuffle_width
 
 LEAST, NORMAL, MOST = 8, 24, 96
 STRICT_BITS, EASY_BITS = 6, 3
@@ -27,19 +27,6 @@ PARTITION_BYTES = 24 << 20
 MAX_PARTITIONS = 16_384
 
 _GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
-_BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse mod 2 ** 64, up to n at least."""
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 14)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
 
 
 def chunk_ends(raw: np.ndarray) -> list[int]:
@@ -75,7 +62,7 @@ def chunk_codes(text: str) -> np.ndarray:
     ends = np.array(chunk_ends(raw), np.int64)
     if not len(ends):
         return np.empty(0, np.uint64)
-    powers, inverses = _power_tables(len(raw) + 1)
+    powers, inverses = power_tables(len(raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)])])
     starts = np.concatenate([[0], ends[:-1]])
     mixed = (sums[ends] - sums[starts]) * inverses[starts]

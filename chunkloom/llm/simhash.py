@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import cut
+from chunkloom.llm.common import cut, power_tables
 from chunkloom.llm.components import connected_components, local_forest, with_least
 
 BITS, SEED = 64, 42
@@ -49,17 +49,15 @@ HELD_LINKS = 300_000
 class Settings:
     """What is fingerprinted and how near counts.
 
-    words, distinct: shingles of the fingerprint, and whether repeats count once. check_words, similarity: if given, a link needs sets of
-    shingles of check_words of at least this Jaccard similarity, whatever the distance of the fingerprints. Candidates share one of bands
-    tuples of band_rows least hashes: at similarity J a pair is missed with probability (1 - J ** band_rows) ** bands. A 256-bit SimHash
-    over the same shingles picks the candidates whose sets are compared.
+    words: shingles of the fingerprint. distance: bits in which linked fingerprints may differ. similarity: if given, a link needs sets of
+    shingles of at least this Jaccard similarity instead, whatever the distance of the fingerprints. Candidates share one of bands tuples of
+    band_rows least hashes: at similarity J a pair is missed with probability (1 - J ** band_rows) ** bands. A 256-bit SimHash over the
+    same shingles picks the candidates whose sets are compared.
     """
 
     words: int = 3
-    distinct: bool = False
     distance: int = 3
-    check_words: int | None = None
-    similarity: float = 0.8
+    similarity: float | None = None
     bands: int = 24
     band_rows: int = 4
 
@@ -71,7 +69,7 @@ class Settings:
 
 
 #: Links of the pipeline's stage: five-word shingles with a similarity of 0.8. Of pairs at just 0.8 the bands miss 3 in a million.
-FIVE_WORDS = Settings(words=1, distinct=True, check_words=5)
+FIVE_WORDS = Settings(words=5, similarity=0.8)
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -85,73 +83,140 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :])], np.uint64)
 
 
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many rows of hashes (n rows of whole 64-bit words) each bit is set. Sums of 255 bits at a time fit a byte."""
+    counts = np.zeros(hashes.shape[1] * BITS, np.int64)
+    for at in range(0, len(hashes), 255 * 64):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 255 * 64]).view(np.uint8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        counts += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+        counts += bits[whole:].sum(0, dtype=np.uint8)
+    return counts
+
+
 def majority(hashes: np.ndarray) -> int:
     """A bit is set if it is set in over half of the hashes."""
     if not len(hashes):
         return 0
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * _set_bits(hashes.astype("<u8")[:, None]) > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _spread(hashes: np.ndarray, times: int) -> np.ndarray:
+    """Columns of further independent hashes made from the first."""
+    return np.stack([_mixed(hashes + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & MASK)) for i in range(times)], 1)
+
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-def _spread(hashes: np.ndarray, times: int) -> list[np.ndarray]:
-    """Further independent hashes made from the first."""
+
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of size words; of all its words if there are fewer.
+
+    All texts are hashed together: words by sums of bytes times powers of an odd base, shingles by sums of their words' hashes.
+    """
+    raw = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+    space = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    powers, inverses = power_tables(len(raw) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)])])
+    words = _mixed((sums[ends] - sums[starts]) * inverses[starts])
+    first = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    factors = np.random.default_rng(size).integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
+    n = len(words) - size + 1
+    runs = _mixed(sum(words[k : k + n] * factors[k] for k in range(size))) if n > 0 else np.empty(0, np.uint64)
     out = []
-    for i in range(times):
-        x = hashes + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & MASK)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(x ^ (x >> np.uint64(31)))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= size:
+            out.append(np.unique(runs[a : b - size + 1]))
+        else:
+            out.append(_mixed((words[a:b] * factors[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a)) if b > a else np.empty(0, np.uint64))
     return out
 
 
 def band_keys(hashes: np.ndarray, settings: Settings) -> np.ndarray:
-    """A number for each band: a digest of the band_rows least hashes of the set, each under its own multiplier."""
+    """A number for each band: a digest of the band_rows least 32-bit hashes of the set, each under its own multiplier."""
     n = settings.bands * settings.band_rows
-    times = np.random.default_rng(SEED).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(n, MASK, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (times[:, None] * hashes[None, at : at + 4096]).min(1))
-    rows, keys = least.reshape(settings.bands, settings.band_rows), np.zeros(settings.bands, np.uint64)
+    times = np.random.default_rng(SEED).integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1)
+    least, short = np.full(n, 0xFFFFFFFF, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        least = np.minimum(least, (times[:, None] * short[None, at : at + 1024]).min(1))
+    rows, keys = least.reshape(settings.bands, settings.band_rows).astype(np.uint64), np.zeros(settings.bands, np.uint64)
     for i in range(settings.band_rows):
-        keys = _spread(keys ^ rows[:, i], 1)[0]
+        keys = _mixed(keys + np.uint64(0x9E3779B97F4A7C15) ^ rows[:, i])
     return keys
 
 
-def text_fingerprint(text: str | None, settings: Settings) -> tuple[int, bytes | None, np.ndarray | None, int | None]:
-    """The fingerprint; of the set of check_words its 256-bit SimHash, band keys and digest."""
-    words = (text or "").encode().lower().split()
-    hashes = shingle_hashes(words, settings.words)
-    probe = majority(np.unique(hashes) if settings.distinct else hashes)
-    if settings.check_words is None:
-        return probe, None, None, None
-    hashes = np.unique(shingle_hashes(words, settings.check_words))
-    return probe, np.array([majority(h) for h in _spread(hashes, 4)], np.uint64).tobytes(), band_keys(hashes, settings), xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+def text_fingerprint(text: str | None, settings: Settings = Settings()) -> int:
+    hashes = shingle_hashes((text or "").encode().lower().split(), settings.words)
+    return majority(hashes)
+
+
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of a set of shingles, as four numbers; zero for an empty set."""
+    bits = 2 * _set_bits(_spread(hashes, 4)) > len(hashes) if len(hashes) else np.zeros(4 * BITS, bool)
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
+#: Bytes of text whose shingles are hashed together, but for a single longer text.
+HASHED_BYTES = 1 << 20
+
+
+def text_portions(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The texts as UTF-8 in lists of about HASHED_BYTES bytes, or of one text."""
+    out: list[bytes] = []
+    size = 0
+    for text in texts:
+        raw = (text or "").encode()
+        if out and size + len(raw) > HASHED_BYTES:
+            yield out
+            out, size = [], 0
+        out.append(raw)
+        size += len(raw)
+    if out:
+        yield out
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
 def fingerprint_rows(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), check (32 bytes or null), bands (longs or null), node; one Arrow pass without a shuffle.
+    """doc_id, digest (of the text), fp (64 bits as a signed long), check (32 bytes or null), bands (longs or null), node.
 
-    node is fp, or, where sets are to be compared, the digest of the set: rows of one node have one set.
+    node is fp, or, where sets are to be compared, the digest of the set: rows of one node have one set. One Arrow pass without a shuffle.
     """
-    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
     key_type = chosen.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "fp", "check", "bands", "node"]
+    names = ["doc_id", "digest", "fp", "check", "bands", "node"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_fingerprint(t, settings) for t in batch.column(1).to_pylist()]
-            prints = pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
-            if settings.check_words is None:
-                checks, bands, node = pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.list_(pa.int64())), prints
-            else:
-                keys = np.array([f[2] for f in found], np.uint64).reshape(-1).view(np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * settings.bands), pa.array(keys))
-                checks, node = pa.array([f[1] for f in found], pa.binary()), pa.array(np.array([f[3] for f in found], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints, checks, bands, node], names)
-
-    return chosen.mapInArrow(work, f"doc_id {key_type}, fp long, check binary, bands array<long>, node long")
+            texts = batch.column(1).to_pylist()
+            if settings.similarity is None:
+                prints = pa.array(np.array([text_fingerprint(t, settings) for t in texts], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints, pa.nulls(len(texts), pa.binary()), pa.nulls(len(texts), pa.list_(pa.int64())), prints], names)
+                continue
+            checks, keys, nodes = [], [], []
+            for portion in text_portions(texts):
+                for hashes in shingle_sets(portion, settings.words):
+                    checks.append(set_fingerprint(hashes))
+                    keys.append(band_keys(hashes, settings))
+                    nodes.append(set_digest(hashes))
+            marks = np.array(checks, np.uint64).reshape(-1, 4)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * settings.bands), pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks[:, 0].copy().view(np.int64)), pa.array([m.tobytes() for m in marks], pa.binary()), bands, pa.array(np.array(nodes, np.uint64).view(np.int64))], names)
+
+    return chosen.mapInArrow(work, f"doc_id {key_type}, digest long, fp long, check binary, bands array<long>, node long")
 
 
 def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -234,8 +299,8 @@ class Linker:
     """Finds the verified links among the rows of buckets and keeps a spanning forest of them."""
 
     def __init__(self, settings: Settings) -> None:
-        self.distance = settings.distance if settings.check_words is None else BITS
-        self.check = settings.check_distance if settings.check_words is not None else None
+        self.distance = settings.distance if settings.similarity is None else BITS
+        self.check = settings.check_distance if settings.similarity is not None else None
 
     def near(self, prints: np.ndarray, checks: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of a and b that are near enough, and the distance of their checks (0 without checks)."""
@@ -422,7 +487,7 @@ def bucket_links(nodes: DataFrame, masks: list[int] | None, settings: Settings)
 
     One shuffle of a row for each node and mask or band; buckets are then read from sorted partitions as a stream.
     """
-    checked = settings.check_words is not None
+    checked = settings.similarity is not None
     dealt = bucket_rows(nodes.select("node", "fp", *(["check", "bands"] if checked else [])), masks)
     linker = Linker(settings)
 
@@ -452,40 +517,42 @@ def pairs_across(nodes: DataFrame, settings: Settings, most: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long, more boolean")
 
 
-def set_hashes(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of a text's shingles."""
-    return np.unique(shingle_hashes((text or "").encode().lower().split(), size) >> np.uint64(32)).astype("<u4")
-
-
 def node_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """node, set: the shingle sets of the nodes that links (a, b) name. A node without any id is not found again by id and has none."""
-    size = settings.check_words
-    named = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.where("first_id IS NOT NULL").select("node", "first_id"), "node")
-    texts = docs.join(named, docs.doc_id == named.first_id).groupBy("node").agg(F.min("text").alias("text"))
+    """node, set: the shingle sets (sorted 32-bit hashes) of the nodes that links (a, b) name.
+
+    Rows that may hold them are found by a node's smallest id; which of them does is told by the digest of its set, so that neither rows that
+    share an id nor rows without one are taken for each other.
+    """
+    named = cut(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.select("node", "first_id"), "node"))
+    ids = named.where("first_id IS NOT NULL").select(F.col("first_id").alias("doc_id")).distinct()
+    texts = docs.join(ids, "doc_id", "left_semi").select("text")
+    if not named.where("first_id IS NULL").isEmpty():
+        texts = texts.unionByName(docs.where("doc_id IS NULL").select("text"))
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_hashes(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "set"])
+            for portion in text_portions(batch.column(0).to_pylist()):
+                sets = shingle_sets(portion, settings.words)
+                digests = pa.array(np.array([set_digest(s) for s in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([digests, pa.array([np.unique(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())], ["node", "set"])
 
-    return cut(texts.mapInArrow(hash_sets, "node long, set binary"))
+    found = texts.mapInArrow(hash_sets, "node long, set binary").join(named.select("node"), "node", "left_semi")
+    return cut(found.groupBy("node").agg(F.first("set").alias("set")))
 
 
 def verified_links(links: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The links (a, b) whose shingle sets are similar enough, compared exactly.
 
-    Links are joined with the sets of both ends; the joins' skew is the engine's to split. Links of a node without a set count unseen.
+    Links are joined with the sets of both ends; the joins' skew is the engine's to split.
     """
     similarity = settings.similarity
-    first = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a", "left")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b", "left").select("a", "b", "set_a", "set_b")
+    first = links.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                if not (x.is_valid and y.is_valid):
-                    keep.append(True)
-                    continue
                 x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= similarity * (len(x) + len(y) - common))
@@ -533,21 +600,23 @@ def similar_components(nodes: DataFrame, docs: DataFrame, settings: Settings) ->
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id for every row: the smallest id among all rows that links lead to.
+    """doc_id, digest (of the text), fp, component, component_id for every row: the smallest id among all rows that links lead to.
+
+    component tells components apart where no member has an id.
 
     Texts are read once. What is shuffled are fingerprints: distinct ones, then probe rows, then links; only bit sums reach the driver.
     """
     prints = cut(fingerprint_rows(docs, settings, key, text))
     nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("check").alias("check"), F.first("bands").alias("bands"), F.min("doc_id").alias("first_id")))
-    if settings.check_words is None:
+    if settings.similarity is None:
         roots = connected_components(bucket_links(nodes, probe_masks(plan_partitions(*bit_counts(nodes), settings.distance)), settings))
     else:
         roots = similar_components(nodes, docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), settings)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("m"))
     members = rooted.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    named = with_least(members, names.withColumnRenamed("root", "a")).select(F.col("b").alias("node"), F.col("m").alias("component_id"))
-    return prints.join(named, "node").select("doc_id", "fp", "component_id")
+    named = with_least(members, names.withColumnRenamed("root", "a")).select(F.col("b").alias("node"), F.col("a").alias("component"), F.col("m").alias("component_id"))
+    return prints.select("doc_id", "digest", "fp", "node").join(named, "node").select("doc_id", "digest", "fp", "component", "component_id")
 
 
 def fingerprint_components(docs: DataFrame) -> DataFrame:

@@ -312,3 +312,25 @@ def test_replaced_and_appended_paragraphs_are_candidates(spark):
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame([(i, t, "", "", 1) for i, t in enumerate(texts)], DOCS), simhash.FIVE_WORDS).collect()}
     assert sum(0.8 <= j < 0.9 for j in likeness.values()) > 15 and min(likeness.values()) < 0.8
     assert got == {i: i - 1 if i % 2 and likeness[i - 1] >= 0.8 else i for i in got}
+
+
+def test_unlike_rows_of_one_id_are_kept(spark, sf_dir):
+    """Rows that share an id, or have none, are told apart by their texts; only copies go."""
+    r = random.Random(77)
+    a, b, c, d = (sentence(r, 60) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c + " end"), (None, c + " end"), (None, d), (None, d), (None, sentence(r, 50)), (4, None), (5, ""), (6, sentence(r, 40))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = sorted(((x.doc_id, x.text or "") for x in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()), key=str)
+    expected = [(1, a), (1, b), (3, c + " end"), (None, d), rows[8], (4, ""), rows[11]]
+    assert got == sorted(expected, key=str)
+
+
+def test_sets_of_shingles_are_those_of_the_words():
+    r = random.Random(3)
+    texts = ["", " \t\n", "One", "one two", "A b C d", "a b c d e", "e d c b a", "a  b\x0bc\fd\r\ne", sentence(r, 700), "x" * 70_000 + " y", "a b c d e a b c d e a", "ÉA b", "Éa B"]
+    got = [h for portion in simhash.text_portions([None, *texts]) for h in simhash.shingle_sets(portion, 5)]
+    assert len(got) == len(texts) + 1 and [len(h) for h in got] == [0, *(len(shingles(t)) for t in texts)]
+    assert all((set(x.tolist()) == set(y.tolist())) == (shingles(s) == shingles(t)) for x, s in zip(got[1:], texts) for y, t in zip(got[1:], texts))
+    many = np.random.default_rng(1).integers(0, 1 << 63, 40_000, np.uint64)
+    bits = np.unpackbits(many.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    assert simhash.majority(many) == sum(1 << i for i in range(64) if 2 * bits[i] > len(many))
