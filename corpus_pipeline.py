@@ -31,14 +31,17 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity of 0.8 or more.
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more.
 
-    Rows without an id are kept; of rows that share the smallest id, one stays.
+    The row of the smallest id stays (rows without an id come last); of rows that share it, that of the least digest of its text. Equal rows
+    are one document. Unlike texts are never taken for each other because they share an id or have none. An empty table stays empty.
     """
+    no_id = F.lit((1 << 63) - 1)
     groups = simhash.near_duplicates(docs, simhash.FIVE_WORDS)
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one_each = docs.where("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    first = F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("_id"), F.col("digest").alias("_digest"))).alias("row")
+    firsts = groups.groupBy("component").agg(first).select("row._id", "row._digest")
+    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), no_id).alias("_id"), F.xxhash64("text").alias("_digest"))
+    return keyed.join(firsts, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
