@@ -9,10 +9,12 @@ lost. A suffix travels with the bytes that its windows cover. Splitters from a s
 bytes; each bucket is sorted by a multikey quicksort on 8-byte tokens. Neighbours with a common prefix shorter than GRAM are alone and done;
 equal ones are settled at once; the windows of the rest, as far as the common prefixes reach, are sorted the same way. A leading string so
 frequent that several splitters equal it is dealt over their buckets; each passes on the first of its equal suffixes, and these are compared
-across the buckets in a second round.
+in a second round. There a suffix goes by runs of its windows, each dealt by a hash of all the bytes that the windows of the run share (RUN
+bytes less than a window), so that a frequent opening does not bring together what differs after it.
 
 Cases: null counts as empty; texts shorter than `length` keep all; null ids come last in order; rows of equal id are ordered by a digest of
-their texts, and equal rows are one document that appears several times (all get the same result); very long texts are read whole.
+their texts (64 bits), and equal rows are one document that appears several times (all get the same result); very long texts are read
+whole, in segments; an empty table gives no row; extra columns are kept, but for those of the names of results and helpers.
 """
 
 from __future__ import annotations
@@ -36,11 +38,14 @@ CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 16 << 20
 PART_BYTES = 1 << 19
 #: Longer texts are taken in overlapping segments, each with the windows that start in so many bytes (places within a part have 24 bits).
 SEGMENT_BYTES = 1 << 22
-#: Bits of a text's digest that tell apart rows of equal id.
-DIGEST_MASK = (1 << 24) - 1
 SAMPLES_PER_BUCKET = 200
-#: Bounds for any input: buckets (24 bytes each in a broadcast), sampled strings (24 bytes each on the driver), tasks of a shuffle.
-MAX_BUCKETS, MAX_SAMPLES, MAX_PARTITIONS = 1 << 20, 1 << 22, 1 << 17
+#: Bounds for any input: splitters (24 bytes each in a broadcast), sampled strings (24 bytes each on the driver), tasks of a shuffle. Where
+#: there are more buckets than splitters, what lies between two splitters is dealt on by a hash of its leading bytes.
+MAX_SPLITTERS, MAX_SAMPLES, MAX_PARTITIONS = 1 << 20, 1 << 22, 1 << 17
+#: Repeated ids that are broadcast to tell their rows from others (8 bytes each); with more of them, every row carries its digest.
+MAX_SHARED_IDS = 1 << 16
+#: Offsets of windows before an anchor that go together in the second round.
+RUN = 20
 _HASH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 _PLACE_BITS = np.uint64(24)
 
@@ -82,7 +87,7 @@ class Suffixes:
         column = np.arange(layout.width)
         low = layout.left - self.before.astype(np.int64)
         body = self.rows[(column >= low[:, None]) & (column < (low + self.windows + layout.length - 1)[:, None])]
-        planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T) for c, k in ((self.doc, 8), (self.digest, 3), (self.first, 4))]
+        planes = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T) for c, k in ((self.doc, 8), (self.digest, 8), (self.first, 4))]
         return zstandard.ZstdCompressor(level=5).compress(b"".join(c.tobytes() for c in (*planes, self.before, self.windows, body)))
 
     @staticmethod
@@ -90,7 +95,7 @@ class Suffixes:
         reader, parts = zstandard.ZstdDecompressor(), []
         for n, blob in blobs:
             raw, at, numbers = np.frombuffer(reader.decompress(blob), np.uint8), 0, []
-            for k in (8, 3, 4):
+            for k in (8, 8, 4):
                 wide = np.zeros((n, 8), np.uint8)
                 wide[:, :k] = raw[at : at + n * k].reshape(k, n).T
                 numbers.append(wide.view("<i8").ravel())
@@ -290,8 +295,20 @@ _FOUND = "doc long, digest long, start long, end long, bucket int, n int, data b
 _FOUND_NAMES = ["doc", "digest", "start", "end", "bucket", "n", "data"]
 
 
-def _identified(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(DIGEST_MASK)).alias("digest"), F.col(text).alias("text"))
+def _keys(docs: DataFrame, text: str) -> DataFrame:
+    """docs with _doc, the id as a number, and _digest: 64 bits of the text's hash where an id occurs more than once, else 0.
+
+    Ids that occur once are most of them, and nothing about them need travel with each suffix.
+    """
+    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    shared = cut(keyed.groupBy("_doc").count().where("count > 1").select(F.col("_doc").alias("_shared")))
+    n = shared.count()
+    if not n:
+        return keyed.withColumn("_digest", F.lit(0).cast("long"))
+    if n > MAX_SHARED_IDS:
+        return keyed.withColumn("_digest", F.xxhash64(text))
+    marked = keyed.join(F.broadcast(shared), F.col("_doc") == F.col("_shared"), "left")
+    return marked.withColumn("_digest", F.when(F.col("_shared").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop("_shared")
 
 
 def segments(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
@@ -346,19 +363,45 @@ def _splitters(rows: DataFrame, buckets: int, total: int, layout: Layout) -> np.
     return grams[(np.arange(1, buckets) * len(grams)) // buckets]
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc, digest, start, end: byte spans (they may overlap) that repeat an earlier string of length bytes.
+def window_runs(s: Suffixes, layout: Layout) -> Iterator[tuple[np.ndarray, Suffixes]]:
+    """(hashes of what they share, records) of the windows of s by runs of offsets before the anchor.
+
+    Equal windows have equal offsets, so they come in the same run, and under the same hash.
+    """
+    most, least = s.before.astype(np.int64), s.before.astype(np.int64) - s.windows + 1
+    for low in range(0, layout.span, RUN):
+        high = min(low + RUN, layout.span) - 1
+        at = np.flatnonzero((most >= low) & (least <= high))
+        if len(at):
+            top, bottom = np.minimum(most[at], high), np.maximum(least[at], low)
+            part = Suffixes(s.rows[at], s.doc[at], s.digest[at], s.first[at] + most[at] - top, top.astype(np.uint8), (top - bottom + 1).astype(np.uint8))
+            shared = np.ascontiguousarray(part.rows[:, layout.left - low : layout.left + layout.length - high])
+            words = np.zeros((len(at), -(-shared.shape[1] // 8) * 8), np.uint8)
+            words[:, : shared.shape[1]] = shared
+            key = np.full(len(at), low + 1, np.uint64) * _HASH[2]
+            for column in words.view("<u8").T:
+                key = (key ^ column) * _HASH[0]
+                key ^= key >> np.uint64(29)
+            yield key, part
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc, digest, start, end: byte spans (they may overlap) that repeat an earlier string of length bytes. rows: doc, digest, text.
 
     One shuffle of compressed suffix blobs (a row for each bucket and chunk of text, not for each suffix), which no key can skew in rows.
     """
     layout = Layout(length)
-    rows = _identified(docs, text)
+    spark = rows.sparkSession
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(shuffle_width(docs.sparkSession), -(-int(total * 2 * layout.width / (layout.span + 1)) // BUCKET_BYTES)))
-    splitters = _splitters(rows, buckets, total, layout)
-    shared = docs.sparkSession.sparkContext.broadcast(splitters)
-    frequent = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
-    often = docs.sparkSession.sparkContext.broadcast(frequent)
+    wanted = max(shuffle_width(spark), -(-int(total * 2 * layout.width / (layout.span + 1)) // BUCKET_BYTES))
+    ranges = min(MAX_SPLITTERS, wanted)
+    within = -(-wanted // ranges)
+    splitters = _splitters(rows, ranges, total, layout)
+    shared = spark.sparkContext.broadcast(splitters)
+    equal = splitters[1:][splitters[1:] == splitters[:-1]]
+    frequent = np.unique(equal)
+    often = spark.sparkContext.broadcast(frequent)
+    second = max(shuffle_width(spark), 4 * len(equal) * within)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, ids, digests, bases in _chunks(batches, layout.length):
@@ -369,6 +412,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             low, high = np.searchsorted(shared.value, grams), np.searchsorted(shared.value, grams, side="right")
             deal = (s.doc.view(np.uint64) * _HASH[0] >> np.uint64(33)).astype(np.int64)
             bucket = np.where(high - low > 1, low + 1 + deal % np.maximum(1, high - low), high)
+            if within > 1:
+                lead = tokens(s.rows[:, layout.left : layout.left + GRAM])
+                mixed = (lead[:, 0] * _HASH[0] ^ lead[:, 1] * _HASH[1] ^ lead[:, 2] * _HASH[2]) * _HASH[3] >> np.uint64(33)
+                bucket = bucket * within + np.where(high - low > 1, deal, mixed.astype(np.int64)) % within
             order = np.lexsort((tokens(s.rows[:, layout.left : layout.left + 8]).ravel(), bucket))
             opens = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
             parts = np.split(order, opens[1:])
@@ -404,12 +451,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             passed = np.isin(kept.grams(layout), often.value)
             yield from spans(settle_windows(kept.take(np.flatnonzero(~passed)), layout))
             if passed.any():
-                on = kept.take(np.flatnonzero(passed))
-                at = np.searchsorted(often.value, on.grams(layout))
-                for gram in np.unique(at):
-                    part = on.take(np.flatnonzero(at == gram))
-                    none = [pa.nulls(1, pa.int64())] * 4
-                    yield pa.RecordBatch.from_arrays([*none, pa.array([int(gram)], pa.int32()), pa.array([len(part)], pa.int32()), pa.array([part.pack(layout)], pa.binary())], _FOUND_NAMES)
+                for key, part in window_runs(kept.take(np.flatnonzero(passed)), layout):
+                    bucket = (key % np.uint64(second)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+                    none = [pa.nulls(len(parts), pa.int64())] * 4
+                    blobs = [part.take(p).pack(layout) for p in parts]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([len(p) for p in parts], pa.int32()), pa.array(blobs, pa.binary())], _FOUND_NAMES)
 
     def settle_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in gathered(batches):
@@ -419,14 +467,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     def by_bucket(blobs: DataFrame, count: int) -> DataFrame:
         """Runs of buckets to partitions, each sorted by bucket, so that a task holds one bucket at a time."""
         n = min(MAX_PARTITIONS, count)
-        at = F.floor(F.col("bucket").cast("long") * n / count).cast("int")
+        at = F.expr(f"CAST(CAST(bucket AS LONG) * {n}L DIV {count}L AS INT)")
         return blobs.repartitionById(n, at).sortWithinPartitions("bucket")
 
-    found = by_bucket(rows.mapInArrow(scatter, _BLOBS), buckets).mapInArrow(settle, _FOUND)
+    found = by_bucket(rows.mapInArrow(scatter, _BLOBS), ranges * within).mapInArrow(settle, _FOUND)
     if not len(frequent):
         return found.select("doc", "digest", "start", "end")
     found = cut(found)
-    across = by_bucket(found.where("data IS NOT NULL").select("bucket", "n", "data"), len(frequent)).mapInArrow(settle_across, _FOUND)
+    across = by_bucket(found.where("data IS NOT NULL").select("bucket", "n", "data"), second).mapInArrow(settle_across, _FOUND)
     return found.where("data IS NULL").unionByName(across).select("doc", "digest", "start", "end")
 
 
@@ -444,13 +492,14 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
     """All columns of docs, then n_bytes, spans (array of start and end), kept (binary): what is left of each text.
 
-    Columns of docs that have one of these three names, or that of a helper (_doc, _digest, _starts, _ends), give way.
+    Columns of docs that have one of these three names, or that of a helper (_doc, _digest, _shared, _starts, _ends), give way.
 
     whole_characters: spans shrink to characters that lie in them wholly, so that kept is UTF-8.
     """
-    docs = docs.drop("n_bytes", "spans", "kept", "_doc", "_digest", "_starts", "_ends")
-    spans = repeated_spans(docs, text, length).groupBy(F.col("doc").alias("_span_doc"), F.col("digest").alias("_span_digest")).agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_digest": F.xxhash64(text).bitwiseAND(F.lit(DIGEST_MASK))})
+    docs = docs.drop("n_bytes", "spans", "kept", "_doc", "_digest", "_shared", "_starts", "_ends")
+    keyed = _keys(docs, text)
+    found = repeated_spans(keyed.select(F.col("_doc").alias("doc"), F.col("_digest").alias("digest"), F.col(text).alias("text")), length)
+    spans = found.groupBy(F.col("doc").alias("_span_doc"), F.col("digest").alias("_span_digest")).agg(F.collect_list("start").alias("_starts"), F.collect_list("end").alias("_ends"))
     names = docs.columns
     place = names.index(text)
     schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), "kept": F.lit(None).cast("binary")}).schema

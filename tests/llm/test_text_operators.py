@@ -43,7 +43,8 @@ def brute_repeats(rows, length):
 
 
 def xxhash64(text):
-    return (xxhash.xxh64_intdigest((text or "").encode(), 42)) & suffix_dedup.DIGEST_MASK
+    unsigned = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return unsigned - (1 << 64) if unsigned >> 63 else unsigned
 
 
 @pytest.mark.parametrize("length", [40, 100])
@@ -79,6 +80,35 @@ def test_repeats_with_frequent_leading_strings(spark, monkeypatch):
         assert sum(s.end - s.start for s in x.spans) == sum(masks[x.doc_id, x.text])
 
 
+def test_repeats_with_a_frequent_opening(spark, monkeypatch):
+    """One opening in every text, unlike continuations: its suffixes are dealt by all that their windows share. Buckets exceed splitters."""
+    r = random.Random(14)
+    opening = "all of these texts open with one and the same rather long line: "
+    tails = ["".join(r.choice("abcdef ") for _ in range(90)) for _ in range(30)]
+    rows = [(i, opening + r.choice(tails)[: r.randrange(20, 90)] + "".join(r.choice("uvwxyz ") for _ in range(70)), "", "", 0) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    monkeypatch.setattr(suffix_dedup, "shuffle_width", lambda _: 96)
+    monkeypatch.setattr(suffix_dedup, "MAX_SPLITTERS", 48)
+    masks = brute_repeats(rows, 100)
+    assert sum(map(sum, masks.values())) > 2000
+    for x in suffix_dedup.without_repeats(frame).collect():
+        assert sum(s.end - s.start for s in x.spans) == sum(masks[x.doc_id, x.text])
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_repeats_of_rows_without_or_with_one_id(spark, monkeypatch, most):
+    """Rows of null or repeated ids are told apart by 64 bits of their texts' hash, broadcast or on every row."""
+    monkeypatch.setattr(suffix_dedup, "MAX_SHARED_IDS", most)
+    r = random.Random(15)
+    shared = ["".join(r.choice("abcdefgh ") for _ in range(140)) for _ in range(6)]
+    text = lambda: "".join(r.choice("stuvwxyz ") for _ in range(r.randrange(5, 80))) + r.choice(["", *shared]) + "".join(r.choice("stuvwxyz ") for _ in range(r.randrange(5, 80)))
+    rows = [(r.choice([None, None, 5, 6, i + 10]), text()) for i in range(400)]
+    masks = brute_repeats(rows, 100)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(x.doc_id, x.text, sum(s.end - s.start for s in x.spans)) for x in suffix_dedup.without_repeats(frame).collect()]
+    assert sorted(got, key=str) == sorted(((i, t, sum(masks[1 << 63 if i is None else i, t])) for i, t in rows), key=str)
+
+
 def test_long_texts_in_segments(docs_rows, monkeypatch):
     """Segments hold each window once, and give the same suffixes as whole texts."""
     monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 150)
