@@ -4,8 +4,9 @@ A greedy longest match proposes tokens for each new word. A sequence of tokens i
 neighbours, joined, encode to themselves; so all adjacent pairs of a batch are tested together against the pairs already judged, new
 pairs are judged once, and only words with a failing pair are merged step by step.
 
-Cases: null and empty texts have no token; very long texts are encoded whole; repeated rows get equal results. The strings of the
-vocabulary's special tokens are single tokens, as the tokenizers library has it.
+Cases: null and empty texts have no token; very long texts, and words of any length, are encoded whole; repeated rows get equal results;
+null and repeated ids are passed on; an empty table gives no row; extra columns, whatever their names, are ignored. The strings of
+the vocabulary's special tokens are single tokens, as the tokenizers library has it.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 # White space as the vocabulary's own patterns mean it.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -29,6 +32,8 @@ CACHE_WORDS = 250_000
 CACHE_PAIRS = 2_000_000
 #: Texts whose new words are encoded together.
 STEP = 256
+#: Longer words are encoded one by one, with a heap: steps over many words at once take as many rounds as the longest has tokens.
+LONG_WORD = 256
 
 
 def byte_alphabet() -> list[str]:
@@ -44,17 +49,12 @@ def byte_alphabet() -> list[str]:
     return out
 
 
-# Ranges that the regex module's Unicode tables count as letters or digits, and the library's older ones do not.
-NEWER_LETTERS = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee
-11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168
-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e
-2cea2-2cead 323b0-33479 3d000-3fc3f"""
-
-
-def newer_letters() -> str:
-    """A character class of NEWER_LETTERS."""
-    ends = (r.partition("-") for r in NEWER_LETTERS.split())
-    return "[" + "".join(f"{chr(int(a, 16))}-{chr(int(b or a, 16))}" for a, _, b in ends) + "]"
+# Where versions of Unicode differ on letters, digits, lower case or the order of marks: rarely used places of the first plane,
+# and all later planes but for symbols and pictures. Texts with such characters are lower-cased and split by the tokenizers library itself.
+RARE = (
+    "\u0530\u0557-\u0560\u0588-\u058f\u07fd\u0870-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0c50-\u0c5f\u0cd0-\u0cdf\u0d3b\u0d3c\u0eba\u1715"
+    "\u1abf-\u1ace\u1c80-\u1c8f\u1df6-\u1dfa\u2080-\u209f\ua7c0-\ua7ff\ua82c\uab60-\uab6f\U00010000-\U0001efff\U00020000-\U0010ffff"
+)
 
 
 def beyond_latin(text: str) -> bool:
@@ -99,7 +99,9 @@ class WordBpe:
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.base = np.array([vocabulary[c] for c in byte_alphabet()] + [vocabulary[c + END] for c in byte_alphabet()], np.int64)
         self.pair_rank = Lookup([vocabulary[a] * self.stride + vocabulary[b] for a, b in merges], list(range(len(merges))))
-        self.merged_id = np.array([vocabulary[a + b] for a, b in merges], np.int64)
+        self.merged_ids = [vocabulary[a + b] for a, b in merges]
+        self.merged_id = np.array(self.merged_ids, np.int64)
+        self.ranks = {vocabulary[a] * self.stride + vocabulary[b]: i for i, (a, b) in enumerate(merges)}
         self.symbols_of: list[list[int]] = [[] for _ in range(self.stride)]
         children: dict[int, int] = {}
         accepts = [-1]
@@ -112,9 +114,11 @@ class WordBpe:
                 if (node := children.setdefault(node * 512 + s, len(accepts))) == len(accepts):
                     accepts.append(-1)
             accepts[node] = i
+        self.children, self.accepted = children, accepts
         self.child, self.accepts = Lookup(list(children), list(children.values())), np.array(accepts, np.int64)
         self.splitter = regex.compile(WORD_PATTERN)
-        self.newer = regex.compile(newer_letters())
+        self.rare = regex.compile(f"[{RARE}]")
+        self.definition, self.library, self.byte_of = definition, None, byte_of
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)  # judged pairs in order, and the verdicts
         self.ids_of: dict[str, str] = {}
@@ -171,6 +175,50 @@ class WordBpe:
         word = np.concatenate(words)
         return np.concatenate(tokens)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(lengths))
 
+    def merge_long(self, tokens: list[int]) -> list[int]:
+        """As merge, for one word: a heap of pairs over a linked list, so that its time goes with n log n."""
+        ranks, stride, made = self.ranks, self.stride, self.merged_ids
+        following, before = [*range(1, len(tokens)), -1], list(range(-1, len(tokens) - 1))
+        heap = [(r, i) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if (r := ranks.get(a * stride + b)) is not None]
+        heapify(heap)
+        while heap:
+            rank, i = heappop(heap)
+            j = following[i]
+            if tokens[i] < 0 or j < 0 or ranks.get(tokens[i] * stride + tokens[j]) != rank:
+                continue  # one of the two has been merged since
+            tokens[i], tokens[j] = made[rank], -1
+            following[i] = k = following[j]
+            if k >= 0:
+                before[k] = i
+                if (r := ranks.get(tokens[i] * stride + tokens[k])) is not None:
+                    heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := ranks.get(tokens[h] * stride + tokens[i])) is not None:
+                heappush(heap, (r, h))
+        return [t for t in tokens if t >= 0]
+
+    def propose_long(self, symbols: list[int]) -> list[int]:
+        """As propose, for one word."""
+        out, at, n, child = [], 0, len(symbols), self.children
+        while at < n:
+            node, pos, best, end = 0, at, -1, at
+            while pos < n and (node := child.get(node * 512 + symbols[pos])) is not None:
+                pos += 1
+                if self.accepted[node] >= 0:
+                    best, end = self.accepted[node], pos
+            out.append(best)
+            at = end
+        return out
+
+    def encode_long(self, word: str) -> list[int]:
+        symbols = list(word.encode())
+        symbols[-1] += 256
+        self.speculated += 1
+        tokens = np.array(self.propose_long(symbols), np.int64)
+        if self._judge(np.concatenate([[self.stride - 1], tokens[:-1]]) * self.stride + tokens).all():
+            return tokens.tolist()
+        self.merged += 1
+        return self.merge_long(self.base[symbols].tolist())
+
     def _forget(self) -> None:
         self.ids_of = {t: str(i) for t, i in self.special.items()}
         self.names_of = {t: t for t in self.special}
@@ -229,7 +277,12 @@ class WordBpe:
     def _learn(self, words: set[str]) -> None:
         if len(self.ids_of) + len(words) > CACHE_WORDS:
             self._forget()
-        new = list(words)
+        for word in [w for w in words if len(w) > LONG_WORD]:
+            tokens = self.encode_long(word)
+            self.ids_of[word], self.names_of[word] = " ".join(map(str, tokens)), " ".join(map(self.token_of.__getitem__, tokens))
+        new = [w for w in words if len(w) <= LONG_WORD]
+        if not new:
+            return
         tokens, counts = self.encode_words(new)
         ids, names = list(map(str, tokens.tolist())), list(map(self.token_of.__getitem__, tokens.tolist()))
         at = 0
@@ -248,13 +301,17 @@ class WordBpe:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            text = text.lower()
-            if beyond_latin(text) and self.newer.search(text):  # split as if they were signs, one for one
-                return [text[m.start() : m.end()] for m in self.splitter.finditer(self.newer.sub("\u2bff", text))]
-            return self.splitter.findall(text)
-        return self.splitter.findall(text.lower())
+        if text.isascii():
+            return self.splitter.findall(text.lower())
+        if beyond_latin(text) and self.rare.search(text):
+            return self._library_words(text)
+        return self.splitter.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _library_words(self, text: str) -> list[str]:
+        if self.library is None:
+            self.library = Tokenizer.from_str(self.definition.decode())
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, part)).decode() for part, _ in parts]
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, the ids and the tokens' strings (each joined by spaces) of every text."""

@@ -283,6 +283,22 @@ def test_bpe_same_as_the_library(spark, docs, docs_rows):
         assert got[i].ids_sha256 == bpe.digest(" ".join(map(str, e.ids))) and got[i].decoded_sha256 == bpe.digest(library.decode(e.ids, skip_special_tokens=False))
 
 
+def test_bpe_of_rare_characters_same_as_the_library():
+    """Each character of the first plane up to U+33FF and of the rare places, beside a letter, digit, sign and space; then random strings."""
+    library, coder, r = Tokenizer.from_file(WORD), bpe.WordBpe(open(WORD, "rb").read()), random.Random(41)
+    points = [*range(1, 0x3400), *range(0xA000, 0xABF0, 3), *range(0xA7C0, 0xA800), *range(0xF900, 0x12700), *range(0x16E00, 0x17000), *range(0x1F000, 0x1FC00, 5)]
+    texts = ["\n".join(f"a{chr(c)}b{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}a {chr(c)}1 {chr(c)}!x" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    planes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(chr(r.choice(p)) if r.random() < 0.7 else r.choice("aB1 !\n.é") for _ in range(30)) for p in (planes, planes[:0xD000]) for _ in range(3000)]
+    assert [[int(i) for i in ids.split()] for _, ids, _ in coder.encode_batch(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_of_very_long_words():
+    library, coder, r = Tokenizer.from_file(WORD), bpe.WordBpe(open(WORD, "rb").read()), random.Random(42)
+    texts = ["".join(r.choices(letters, k=n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "éñü", "!?.") for n in (255, 256, 257, 700, 20_000)] + ["a" * 100_000]
+    assert [coder.encode(t) for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_with_small_stores(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
     monkeypatch.setattr(bpe, "CACHE_PAIRS", 50)
