@@ -5,8 +5,8 @@ window that leaves the least room; a segment tree over remaining capacities find
 group_tokens tokens, each packed by one task, so the work of a task is bounded at every size and at most one poorly filled window a
 group is left.
 
-Cases: a null or empty text is the end id alone; very long texts are cut into full windows; repeated rows are packed separately;
-an empty table gives no piece.
+Cases: a null or empty text is the end id alone; very long texts are cut into full windows; repeated rows, and rows that share an id or
+have none, are packed separately; an empty table gives no piece; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +34,16 @@ END_ID = 1
 GROUP_TOKENS = 1 << 20
 # Fixed value: how a byte-level vocabulary splits text before its merges.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_SPACE = 100_000
+_LONG_RUN = re.compile(r"\s{%d}" % LONG_SPACE)
 
 
 class ByteTokens:
     """Ids of texts as little-endian unsigned 32-bit integers, for a byte-level vocabulary file of the tokenizers library.
 
     Where the file's merges stand in the order of their ids, as they do in the public ones, the ids are also what tiktoken gives with the
-    same tokens as ranks, at a quarter of the time; any other file goes through the tokenizers library itself.
+    same tokens as ranks, at a quarter of the time; any other file goes through the tokenizers library itself, and so does a text with a
+    run of LONG_SPACE or more characters of white space (at a million of them the pattern of tiktoken fails).
     """
 
     def __init__(self, definition: bytes) -> None:
@@ -54,16 +57,21 @@ class ByteTokens:
         if ranked:
             ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
             encoding = tiktoken.Encoding("ranked", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self._plain = lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            self._plain = lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if len(text) < LONG_SPACE or not _LONG_RUN.search(text) else self._library(text)
         else:
-            tokenizer = Tokenizer.from_str(definition.decode())
-            tokenizer.no_truncation()
-            tokenizer.no_padding()
-            self._plain = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self._plain = self._library
+        self.definition, self.tokenizer = definition, None
         special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+    def _library(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            self.tokenizer = Tokenizer.from_str(self.definition.decode())
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: str) -> bytes:
         if self.specials is not None and self.specials.search(text):
             return b"".join(self.special[part] if i % 2 else self._plain(part) for i, part in enumerate(self.specials.split(text)))

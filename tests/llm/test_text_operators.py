@@ -318,6 +318,12 @@ def test_byte_tokens_same_as_the_library():
         assert np.frombuffer(coder.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_byte_tokens_of_long_white_space_same_as_the_library():
+    library, coder = Tokenizer.from_file(BYTE), packing.ByteTokens(open(BYTE, "rb").read())
+    for text in (" " * 99_999 + "x", "a" + " " * 100_000 + "b", "a" + "\n" * 1_100_000, " \t" * 600_000 + "y"):
+        assert coder.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_best_fit_decreasing_matches_a_plain_search():
     r = random.Random(6)
     for _ in range(20):
