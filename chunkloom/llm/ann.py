@@ -5,9 +5,10 @@ solved for jointly; codes are found by beam search. Inner products of a query wi
 is the sum of one entry a codebook (and, for Euclidean distance, the stored norm of its approximation). The best rows of a block are
 scored again, exactly and in double precision, on the original vectors.
 
-Cases: vectors that are null, zero, of another than the commonest dimension, or that hold null or non-finite components take no part; rows
-with the query's own id are no candidates; ties go to the smaller id; with fewer candidates than asked for, all are returned; an empty table
-gives no row.
+Cases: vectors that are null, zero, of another than the commonest dimension, or that hold null or non-finite components take no part, nor do
+rows without an id; of rows that share an id one is used, that of the least vector, so a query's ids are distinct; rows with the query's own
+id are no candidates; ties go to the smaller id, also where equal vectors exceed a shortlist; with fewer candidates than asked for, all are
+returned; an empty table gives no row; extra columns, whatever their names, are ignored. Vectors of doubles are scored as doubles.
 """
 
 from __future__ import annotations
@@ -112,31 +113,40 @@ def _valid(column: str, dimension: int) -> Column:
     return (F.size(column) == dimension) & finite & F.exists(column, lambda v: v != 0)
 
 
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+def shortlist(scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """Columns of the k best scores of each row; of those that tie with the last, the first ones. Scores of -inf never count."""
+    if k >= scores.shape[1]:
+        return [np.flatnonzero(s > -np.inf) for s in scores]
+    out, least = [], -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    for s, limit in zip(scores, least):
+        above, ties = np.flatnonzero(s > limit), np.flatnonzero(s == limit) if limit > -np.inf else np.empty(0, np.int64)
+        out.append(np.concatenate([above, ties[: k - len(above)]]))
+    return out
 
 
-def scan_block(books: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_id, vec_id, score) of the best k rows of a block for each query: tables for a shortlist, exact scores for the order."""
+def scan_block(books: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, settings: Settings, scale: float = 1.0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query_id, vec_id, score) of the best k rows of a block for each query: tables for a shortlist, exact scores for the order.
+
+    vectors and queries are the original ones; ids ascend.
+    """
     count, words, _ = books.shape
     short = min(len(ids), max(settings.min_rerank, k + 1, int(settings.rerank_share * len(ids))))
-    order = np.argsort(ids, kind="stable")
     exact_rows = vectors.astype(np.float64)
     for at in range(0, len(queries), SCORED):
         q, q_ids = queries[at : at + SCORED], query_ids[at : at + SCORED]
-        table = (q @ books.reshape(count * words, -1).T).reshape(len(q), count, words)
+        table = ((q * scale).astype(np.float32) @ books.reshape(count * words, -1).T).reshape(len(q), count, words)
         scores = np.zeros((len(q), len(ids)), np.float32)
         for m in range(count):
             scores += np.take(table[:, m], codes[:, m], axis=1)
         if settings.metric == "euclidean":
             scores = 2 * scores - norms
-        low, high = np.searchsorted(ids[order], q_ids), np.searchsorted(ids[order], q_ids, side="right")
+        low, high = np.searchsorted(ids, q_ids), np.searchsorted(ids, q_ids, side="right")
         for i in np.flatnonzero(high > low):
-            scores[i, order[low[i] : high[i]]] = -np.inf
-        picked = _top(scores, short)
+            scores[i, low[i] : high[i]] = -np.inf
+        picked = shortlist(scores, short)
         wide = q.astype(np.float64)
         for i in range(len(q)):
-            rows = picked[i][scores[i, picked[i]] > -np.inf]
+            rows = picked[i]
             if settings.metric == "euclidean":
                 exact = -np.sqrt(((exact_rows[rows] - wide[i]) ** 2).sum(1))
             else:
@@ -145,6 +155,15 @@ def scan_block(books: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: n
             yield np.full(len(best), q_ids[i]), ids[rows[best]], exact[best]
 
 
+def one_row_an_id(rows: DataFrame) -> DataFrame:
+    """rows (vec_id, v, q), of each id that occurs more than once only the row of the least vector. Only such ids' vectors are shuffled."""
+    shared = cut(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"))
+    if shared.isEmpty():
+        return rows
+    several = rows.join(shared, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    return cut(rows.join(shared, "vec_id", "left_anti").unionByName(several))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each query among all other rows.
 
@@ -153,17 +172,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
-    chosen = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), is_query.alias("q")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    kind = "float" if vectors.select(vector).schema[0].dataType.simpleString() == "array<float>" else "double"
+    width = np.dtype(np.float32 if kind == "float" else np.float64)
+    chosen = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("v"), is_query.alias("q")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     common = chosen.groupBy(F.size("v").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
     if common is None:
         return spark.createDataFrame([], result)
     dimension = common.d
-    valid = chosen.where(_valid("v", dimension))
-    sizes = valid.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
+    valid = one_row_an_id(chosen.where(_valid("v", dimension)))
+    sizes = valid.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("most")).first()
     if not sizes.n or not sizes.q:
         return spark.createDataFrame([], result)
+    # the index works in floats: components that would leave their range are scaled there, exact scores are of the originals
+    scale = 1.0 if 1e-9 < sizes.most < 1e9 else 1.0 / sizes.most
     sample = valid.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(settings.max_training_rows).select("v").collect()
-    quantiser = spark.sparkContext.broadcast(train(np.array([r.v for r in sample], np.float32), settings))
+    quantiser = spark.sparkContext.broadcast(train((np.array([r.v for r in sample], np.float64) * scale).astype(np.float32), settings))
     row_salts, query_blocks = max(1, -(-sizes.n // ROW_BLOCK)), max(1, -(-sizes.q // QUERY_BLOCK))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +194,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
             for at in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(at, ROW_BLOCK)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dimension)
-                codes = quantiser.value.encode(x)
+                order = np.argsort(ids, kind="stable")
+                ids, x = ids[order], part.column(1).flatten().to_numpy(zero_copy_only=False).astype(width).reshape(-1, dimension)[order]
+                codes = quantiser.value.encode((x * scale).astype(np.float32))
                 norms = (quantiser.value.decode(codes) ** 2).sum(1).astype(np.float32)
                 data = [[a.tobytes()] for a in (ids, x, codes, norms)]
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(data[0][0]) % row_salts], pa.int32()), *(pa.array(d, pa.binary()) for d in data)], ["salt", "ids", "x", "codes", "norms"])
@@ -188,11 +212,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
             for i in range(batch.num_rows):
                 raw = [batch.column(c)[i].as_buffer() for c in range(4)]
                 ids = np.frombuffer(raw[0], np.int64)
-                x = np.frombuffer(raw[1], np.float32).reshape(len(ids), dimension)
+                x = np.frombuffer(raw[1], width).reshape(len(ids), dimension)
                 codes, norms = np.frombuffer(raw[2], np.uint8).reshape(len(ids), -1), np.frombuffer(raw[3], np.float32)
                 q_ids = batch.column(4)[i].values.to_numpy(zero_copy_only=False)
-                queries = batch.column(5)[i].values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dimension)
-                found = list(scan_block(quantiser.value.books, ids, x, codes, norms, q_ids, queries, k, settings))
+                queries = batch.column(5)[i].values.to_numpy(zero_copy_only=False).astype(width).reshape(-1, dimension)
+                found = list(scan_block(quantiser.value.books, ids, x, codes, norms, q_ids, queries, k, settings, scale))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 

@@ -177,13 +177,49 @@ def test_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (40, None), (60, [0.0, 0.0]), (1, [1.0, None]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [1.0, 2.0, 3.0]), (5, [0.5, 0.5]), (6, [0.5, 0.5]), (7, [-1.0, 0.0]), (None, [9.0, 9.0]), (5, [0.5, 0.5])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(t.query_id, t["rank"], t.vec_id, t.score) for t in ann.nearest(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 5, 0.5), (0, 2, 5, 0.5), (0, 3, 6, 0.5), (0, 4, 20, 0.0), (0, 5, 7, -1.0), (20, 1, 5, 1.0), (20, 2, 5, 1.0), (20, 3, 6, 1.0), (20, 4, 0, 0.0), (20, 5, 7, 0.0)]
+    assert got == [(0, 1, 5, 0.5), (0, 2, 6, 0.5), (0, 3, 20, 0.0), (0, 4, 7, -1.0), (20, 1, 5, 1.0), (20, 2, 6, 1.0), (20, 3, 0, 0.0), (20, 4, 7, 0.0)]
     assert ann.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(frame.where("vec_id = 7"), F.col("vec_id") % 20 == 0).count() == 0
     euclid = ann.nearest(frame, F.col("vec_id") == 0, k=1, settings=ann.Settings(metric="euclidean")).first()
     assert (euclid.vec_id, euclid.score) == (5, pytest.approx(-math.sqrt(0.5)))
 
 
+def test_repeated_rows_and_ties_of_vectors(spark):
+    """Repeated queries and candidates give distinct ids; of 600 equal vectors, more than a shortlist holds, the smallest ids are found."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(2000, 8)).astype(np.float32)
+    x[1001:1601] = x[1001] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[20], rows[20], rows[1005], rows[7]] * 2 + [(40, [9.0] * 8), (41, [9.0] * 8)]
+    r.shuffle(rows)
+    got = {}
+    for t in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(t.query_id, {})[t["rank"]] = t.vec_id
+    for i in (40, 41):
+        x[i] = min(x[i].tolist(), [9.0] * 8)
+    wide = x.astype(np.float64)
+    assert len(got) == 100 and all(sorted(v) == list(range(1, 21)) and len(set(v.values())) == 20 for v in got.values())
+    hits = ties = 0
+    for q, found in got.items():
+        exact = [i for i, _ in brute_nearest(np.arange(2000), wide, q, 20)]
+        hits += len(set(exact) & set(found.values()))
+        if set(exact) <= set(range(1001, 1601)):
+            ties += 1
+            assert [found[k] for k in range(1, 21)] == exact
+    assert ties >= 20 and hits >= 0.9 * 2000
+
+
+@pytest.mark.parametrize("size", [1.0, 1e60, 1e-60])
+def test_doubles_are_scored_as_doubles(spark, size):
+    """Registered settings; doubles that no float holds, and sizes beyond the range of floats."""
+    x = np.random.default_rng(11).normal(size=(1500, 16)) * size
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest(frame, F.col("vec_id") % 20 == 0).collect()
+    assert len(rows) == 75 * 20 and all(abs(t.score - x[t.vec_id] @ x[t.query_id]) <= 1e-13 * np.abs(x[t.vec_id] * x[t.query_id]).sum() for t in rows)
+    hits = sum(len({i for i, _ in brute_nearest(np.arange(1500), x, q, 20)} & {t.vec_id for t in rows if t.query_id == q}) for q in range(0, 1500, 20))
+    assert hits >= 0.9 * len(rows)
+
+
 def test_joint_code_words_are_no_worse():
     r = np.random.default_rng(3)
     x = r.normal(size=(2000, 16)).astype(np.float32)
