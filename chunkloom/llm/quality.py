@@ -4,7 +4,8 @@ score = sigmoid(b + sum_i w_i x_i + 1/2 sum_k [(sum_i v_ik x_i)^2 - sum_i v_ik^2
 features instead of one over their pairs.
 
 Cases: null and empty texts have structure features only and get a score like any other; very long texts are read whole; repeated
-rows get equal scores; without any training row the score is 0.5 for all.
+rows get equal scores; null and repeated ids are passed on; an empty table gives no row; extra columns, whatever their names, are
+ignored; without any training row the score is 0.5 for all.
 """
 
 from __future__ import annotations

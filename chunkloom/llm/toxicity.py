@@ -1,14 +1,19 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-A lexical transducer turns words into symbols (insult, threat, target, negation, report, clause end, other). Three more, composed
-with it, follow negation, reported speech and targets through a clause and mark each insult or threat with what governs it. A
-document's score is a logistic function of the weights of its matched clauses by class, not of isolated words.
+A lexical transducer turns words into symbols (insult, threat, target, comparison, command, negation, report, clause end, other). Three
+more, composed with it, follow negation, reported speech and patterns through a clause. The pattern transducer knows target and hit ("you
+are an idiot"), hit and target ("idiots like you", "kill them"), comparison ("such a clown"), command ("shut up, moron") and a bare
+hit; each pattern has a weight, and so has what governs it. A clause counts by its best pattern (weight of the word times weight of
+the pattern), so a verb of threat without a target matches nothing, and a negated or quoted insult little. A document's score is a
+logistic function of its matched clauses by pattern.
 
-The lexicon starts from a short list and grows by words and stems that mark toxic training rows; their weights and those of the
-clause classes are learnt from a bounded sample (classifier_data.MAX_ROWS_PER_CLASS rows of each class).
+The lexicon starts from a short general list of insults, threats and function words in four languages, written without looking at any
+table, and grows by words and stems that mark toxic training rows. Their weights (log odds, drawn to zero where rows are few) and those of
+the patterns (drawn to PRIOR) are learnt from a bounded sample (classifier_data.MAX_ROWS_PER_CLASS rows of each class).
 
 Cases: null and empty texts hold no clause and get the lowest score; very long texts are read whole, in one pass; repeated rows get
-equal scores; without training rows the starting lexicon and weights are used.
+equal scores; null and repeated ids are passed on; an empty table gives no row; extra columns, whatever their names, are ignored; without
+training rows the starting lexicon and weights are used.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ REPORTS = (
     "said says say told wrote writes called calls claimed claims quoted quote reported according sagte sagt schrieb nannte laut "
     "dit disait écrit écrivait appelle selon dijo dice escribió llamó según"
 ).split()
+COMPARISONS = "like such total complete utter absolute wie solch solche solcher comme tel telle quel quelle como menudo menuda tan qué".split()
+COMMANDS = "shut go get leave stop halt geh verschwinde hau ferme dégage tais va vete cállate lárgate cierra".split()
 
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;:|\n\"«»„“”]")
 _CLAUSE_ENDS, _QUOTES = set(".!?;:|\n"), set("\"«»„“”")
@@ -52,6 +59,7 @@ STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 Symbol = tuple[str, ...]
 OTHER, END, TARGET, NEGATION, REPORT, QUOTE = ("other",), ("end",), ("target",), ("negation",), ("report",), ("quote",)
+COMPARISON, COMMAND = ("comparison",), ("command",)
 
 
 @dataclass(frozen=True)
@@ -95,17 +103,30 @@ def reported_speech() -> Transducer:
     return Transducer((False, False), step)
 
 
-def aim(reach: int = 6) -> Transducer:
-    """Marks hits that stand at most reach words after a target in the same clause."""
+def patterns(reach: int = 6, near: int = 3) -> Transducer:
+    """Marks hits with the pattern that they complete, and targets that complete the pattern of a hit before them.
 
-    def step(left: int, s: Symbol) -> tuple[int, Symbol]:
-        if s == TARGET:
-            return reach, s
+    A target reaches so many words ahead, a comparison, a command or a hit that waits for its target only `near` words. A command counts
+    at the start of a clause alone.
+    """
+
+    def step(state: tuple[int, int, int, int, bool], s: Symbol) -> tuple[tuple[int, int, int, int, bool], Symbol]:
+        target, comparison, command, hit, opening = state
         if s == END:
-            return 0, s
-        return max(0, left - 1), (*s, "aimed") if left and _is_hit(s) else s
+            return (0, 0, 0, 0, True), s
+        after = [max(0, n - 1) for n in (target, comparison, command, hit)]
+        if s == TARGET:
+            return (reach, *after[1:3], 0, False), (*s, "answers") if hit else s
+        if s == COMPARISON:
+            after[1] = near
+        elif s == COMMAND and opening:
+            after[2] = near
+        elif _is_hit(s):
+            after[3] = near
+            return (*after, False), (*s, "aimed" if target else "commanded" if command else "compared" if comparison else "bare")
+        return (*after, opening and s == QUOTE), s
 
-    return Transducer(0, step)
+    return Transducer((0, 0, 0, 0, True), step)
 
 
 def compose(*parts: Transducer) -> Transducer:
@@ -125,16 +146,23 @@ def compose(*parts: Transducer) -> Transducer:
     return Transducer(tuple(p.start for p in parts), step)
 
 
-#: A hit's class: what it is, whether it is aimed at someone, and what weakens it.
-CLASSES = [(kind, aimed, weak) for kind in ("insult", "threat") for aimed in (False, True) for weak in ("", "negated", "reported")]
+#: Weights of the patterns before training, by kind of hit. A threat needs somebody whom it is meant for.
+PATTERNS = {
+    "insult": {"bare": 1.0, "compared": 1.1, "commanded": 1.15, "aimed": 1.25, "answered": 1.25},
+    "threat": {"bare": 0.0, "compared": 0.2, "commanded": 0.6, "aimed": 0.8, "answered": 1.5},
+}
+#: What is left of a pattern's weight where it is negated or reported.
+WEAK = {"": 1.0, "negated": 0.35, "reported": 0.5}
+#: A matched pattern's class: kind of hit, pattern, what weakens it.
+CLASSES = [(kind, pattern, weak) for kind, known in PATTERNS.items() for pattern in known for weak in WEAK]
 _CLASS_AT = {c: i for i, c in enumerate(CLASSES)}
 WIDTH = len(CLASSES) + 2
-PRIOR = np.array([{"": 1.0, "negated": 0.35, "reported": 0.5}[weak] * (1.25 if aimed else 1.0) for _, aimed, weak in CLASSES] + [0.5, -3.5])
+PRIOR = np.array([PATTERNS[kind][pattern] * WEAK[weak] for kind, pattern, weak in CLASSES] + [0.5, -3.5])
 
 
 @dataclass
 class Lexicon:
-    """Weights of words, and of stems that any longer word may start with; at most max_entries learnt entries."""
+    """Weights of words, and of stems that any longer word may start with."""
 
     words: dict[str, tuple[str, float]] = field(default_factory=lambda: {w: ("insult", 2.5) for w in INSULTS} | {w: ("threat", 1.5) for w in THREATS})
     stems: dict[str, float] = field(default_factory=dict)
@@ -145,9 +173,9 @@ class Grammar:
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
-        self.machine = compose(negation(), reported_speech(), aim())
+        self.machine = compose(negation(), reported_speech(), patterns())
         self.fixed: dict[str, tuple[Symbol, float]] = {}
-        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (_QUOTES, QUOTE), (_CLAUSE_ENDS, END)):
+        for words, symbol in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (COMPARISONS, COMPARISON), (COMMANDS, COMMAND), (_QUOTES, QUOTE), (_CLAUSE_ENDS, END)):
             self.fixed |= {w: (symbol, 0.0) for w in words}
         self.fixed |= {w: ((kind,), weight) for w, (kind, weight) in lexicon.words.items() if weight > 0}
         self.hits = {w for w, (symbol, _) in self.fixed.items() if _is_hit(symbol)}
@@ -161,25 +189,30 @@ class Grammar:
         return None
 
     def clauses(self, text: str) -> list[tuple[int, float]]:
-        """(class, weight of its strongest hit) of every matched clause. Texts without a word of the lexicon never reach the transducers."""
+        """(class, weight of the word) of the best pattern of every matched clause. Texts without a word of the lexicon never reach the transducers."""
         tokens = _TOKEN.findall(text.lower())
         distinct, lead = set(tokens), STEM_LENGTHS[0]
         stems = {w: found for w in distinct if w[:lead] in self.leads and w not in self.fixed and (found := self._stem(w))}
         if not stems and self.hits.isdisjoint(distinct):
             return []
         known, plain = self.fixed | stems, (OTHER, 0.0)
-        out, best, state, step = [], None, self.machine.start, self.machine.step
+        out, best, waiting, state, step = [], (0.0, 0, 0.0), None, self.machine.start, self.machine.step
         for token in tokens:
             symbol, weight = known.get(token, plain)
             state, marked = step(state, symbol)
             if weight:
                 weak = "negated" if "negated" in marked else "reported" if "reported" in marked else ""
-                found = (weight * (1 if not weak else 0.9), _CLASS_AT[marked[0], "aimed" in marked, weak], weight)
-                best = max(best, found) if best else found
-            elif symbol == END and best:
-                out.append(best[1:])
-                best = None
-        return [*out, best[1:]] if best else out
+                waiting = marked[0], weak, weight
+                k = _CLASS_AT[marked[0], marked[-1], weak]
+                best = max(best, (weight * PRIOR[k], k, weight))
+            elif marked[-1] == "answers" and waiting:
+                k = _CLASS_AT[waiting[0], "answered", waiting[1]]
+                best = max(best, (waiting[2] * PRIOR[k], k, waiting[2]))
+            elif symbol == END:
+                if best[0] > 0:
+                    out.append(best[1:])
+                best, waiting = (0.0, 0, 0.0), None
+        return [*out, best[1:]] if best[0] > 0 else out
 
     def features(self, text: str | None) -> np.ndarray:
         x = np.zeros(WIDTH)
@@ -249,10 +282,11 @@ def association(a: int, b: int, n1: int, n0: int) -> float:
     return out if a * n0 > b * n1 else -out
 
 
-def learn_lexicon(sample: DataFrame, n1: int, n0: int, max_entries: int = 4096, least_g2: float = 20.0, least_ratio: float = 6.0) -> Lexicon:
-    """The starting lexicon, reweighed, plus at most max_entries words and stems that mark toxic rows of the (bounded) sample.
+def learn_lexicon(sample: DataFrame, n1: int, n0: int, least_g2: float = 20.0, least_ratio: float = 6.0, shrink: float = 1.0) -> Lexicon:
+    """The starting lexicon, reweighed, plus all words and stems that mark toxic rows of the (bounded) sample.
 
-    Every term that three toxic rows hold is tested, where the terms are counted; only the best and the starting words reach the driver.
+    Every term that three toxic rows hold is tested, where the terms are counted; only those that pass and the starting words reach the
+    driver. Weights are log odds, drawn to zero as if by shrink further rows that say nothing.
     """
     lexicon = Lexicon()
     if not n1 or not n0:
@@ -261,12 +295,13 @@ def learn_lexicon(sample: DataFrame, n1: int, n0: int, max_entries: int = 4096,
     started = F.col("term").isin(list(lexicon.words))
     counts = cut(toxic.join(clean, "term", "full").fillna(0, ["a", "b"]).where((F.col("a") >= 3) | started))
     marks = counts.where((F.col("a") >= 3) & (F.col("a") / n1 >= least_ratio * F.col("b") / n0)).withColumn("g2", _association_column(F.col("a"), F.col("b"), n1, n0))
-    best = marks.where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), F.desc("term")).limit(max_entries).collect()
+    best = marks.where(F.col("g2") >= least_g2).orderBy(F.desc("g2"), F.desc("term")).collect()
     known = {r.term: r for r in [*counts.where(started).collect(), *best]}
     a, b = {t: r.a for t, r in known.items()}, {t: r.b for t, r in known.items()}
-    odds = lambda t: math.log((a.get(t, 0) + 0.5) / (n1 + 1)) - math.log((b.get(t, 0) + 0.5) / (n0 + 1))
+    rows = lambda t: a.get(t, 0) + b.get(t, 0)
+    odds = lambda t: (math.log((a.get(t, 0) + 0.5) / (n1 + 1)) - math.log((b.get(t, 0) + 0.5) / (n0 + 1))) * rows(t) / (rows(t) + shrink)
     for word, (kind, _) in list(lexicon.words.items()):
-        if a.get(word, 0) + b.get(word, 0) >= 5:
+        if rows(word) >= 5:
             lexicon.words[word] = (kind, max(0.0, min(6.0, odds(word))))
     for term in (r.term for r in best):
         if term.endswith("*"):

@@ -89,22 +89,41 @@ def marks(text):
 
 
 def test_transducers_mark_what_governs_a_hit():
-    assert marks("You are an idiot.") == [("insult", True, "", 2.5)]
-    assert marks("the idiot") == [("insult", False, "", 2.5)]
-    assert marks("You are not an idiot") == [("insult", True, "negated", 2.5)]
-    assert marks("She is not here. Idiot") == [("insult", False, "", 2.5)]
+    assert marks("You are an idiot.") == [("insult", "aimed", "", 2.5)]
+    assert marks("the idiot") == [("insult", "bare", "", 2.5)]
+    assert marks("You are not an idiot") == [("insult", "aimed", "negated", 2.5)]
+    assert marks("She is not here. Idiot") == [("insult", "bare", "", 2.5)]
     assert marks('He said "idiot" and left')[0][2] == "reported"
-    assert marks("I will kill you, idiot") == [("insult", True, "", 2.5)]
-    assert marks("they will murder") == [("threat", True, "", 1.5)]
+    assert marks("they will murder") == [("threat", "aimed", "", 1.5)]
     assert marks("nothing to see") == [] and marks("") == []
     assert len(marks("idiot. idiot! fine; moron")) == 3
 
 
+def test_patterns_of_a_clause():
+    assert marks("Idiots and scum like you all") == [("insult", "answered", "", 2.5)]
+    assert marks("What an utter clown") == [("insult", "compared", "", 2.5)]
+    assert marks("Shut up, loser, now") == [("insult", "commanded", "", 2.5)]
+    assert marks("I will kill you") == [("threat", "answered", "", 1.5)]
+    assert marks("kill the process and burn the disc") == []  # a threat without a target
+    assert marks("kill the old and slow process of yours") == []  # too far
+    assert marks("never kill them") == [("threat", "answered", "negated", 1.5)]
+    assert marks("I will kill you, idiot") == [("insult", "aimed", "", 2.5)]
+    assert marks("let us go, moron") == [("insult", "bare", "", 2.5)]  # a command opens its clause
+
+
+def test_scores_follow_patterns():
+    model = toxicity.ToxicityModel(toxicity.Lexicon(), toxicity.PRIOR)
+    grammar = toxicity.Grammar(model.lexicon)
+    score = lambda text: float(model.scores(grammar.features(text)[None])[0])
+    assert score("you are an idiot. you are scum") > score("an idiot. some scum") > score("you are no idiot. he wrote of scum") > score("kill the process") == score("")
+    assert score("i will kill you. i will hurt you") > score("they kill time. they burn wood")
+
+
 def test_composition_equals_feeding_one_into_the_next():
-    parts = [toxicity.negation(), toxicity.reported_speech(), toxicity.aim()]
+    parts = [toxicity.negation(), toxicity.reported_speech(), toxicity.patterns()]
     whole = toxicity.compose(*parts)
     r = random.Random(3)
-    symbols = [toxicity.OTHER, toxicity.END, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.QUOTE, ("insult",), ("threat",)]
+    symbols = [toxicity.OTHER, toxicity.END, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.QUOTE, toxicity.COMPARISON, toxicity.COMMAND, ("insult",), ("threat",)]
     state, states = whole.start, [p.start for p in parts]
     for _ in range(2000):
         s = out = r.choice(symbols)
