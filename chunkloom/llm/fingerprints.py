@@ -5,17 +5,19 @@ chunking). A fingerprint is the set of the chunks' digests with their lengths; t
 also has measures containment, wherever they stand.
 
 Cases: null counts as empty; two empty texts have likeness 1, an empty and another text 0; equal texts have equal fingerprints; very long
-texts are chunked whole; rows of equal id stand in the order of their texts; null ids stand last; a single row is its own next.
+texts are chunked whole; rows of equal id stand in the order of a digest of their texts, then of the texts; null ids stand last; a single row
+is its own next; an empty table gives no row; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm.common import power_tables, shuffle_width
@@ -24,7 +26,10 @@ LEAST, NORMAL, MOST = 8, 24, 96
 STRICT_BITS, EASY_BITS = 6, 3
 LENGTH_BITS, CODE_BYTES = 7, 5
 PARTITION_BYTES = 24 << 20
-MAX_PARTITIONS = 16_384
+#: Beyond 1.6 TB of text partitions grow; each is read as a stream from a sort that spills, so a task's memory does not grow with it.
+MAX_PARTITIONS = 1 << 16
+#: Sampled rows for each splitter (16 bytes each on the driver).
+SAMPLES = 30
 
 _GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -103,37 +108,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {key}, fingerprint string")
 
 
-def _bucket(splitters: list[int]):
-    """How many splitters are below doc_id: a search in two levels of arrays."""
-    if not splitters:
-        return F.lit(0)
+_PLACE = "struct<i:bigint,d:bigint>"
+
+
+def _below(splitters: list[tuple[int, int]]) -> Column:
+    """How many splitters are below place: a search in two levels of constant arrays."""
     size = max(16, int(len(splitters) ** 0.5))
-    runs = [splitters[i : i + size] for i in range(0, len(splitters), size)]
-    array = lambda xs: "array(" + ",".join(f"{x}L" for x in xs) + ")"
-    before = f"size(filter({array([r[-1] for r in runs])}, x -> x < doc_id))"
-    inside = f"size(filter(element_at(array({','.join(map(array, runs))}), least({before} + 1, {len(runs)})), x -> x < doc_id))"
-    return F.expr(f"CASE WHEN doc_id IS NULL THEN 0 WHEN {before} = {len(runs)} THEN {len(splitters)} ELSE {before} * {size} + {inside} END")
+    runs = [[{"i": i, "d": d} for i, d in splitters[k : k + size]] for k in range(0, len(splitters), size)]
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    less = lambda array: F.size(F.filter(array, lambda x: x < F.col("place")))
+    before = less(constant([r[-1] for r in runs], f"array<{_PLACE}>"))
+    inside = less(F.element_at(constant(runs, f"array<array<{_PLACE}>>"), F.least(before + 1, F.lit(len(runs)))))
+    return F.when(before == len(runs), len(splitters)).otherwise(before * size + inside).cast("int")
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
     """Every document with its fingerprint, that of its edited text, and their likeness; next means next by descending doc_id.
 
-    Texts are shuffled once, to ranges of doc_id. Splitters are ids that occur, so the neighbour of a range's last row is known: that one
-    row (two rows for each range in all) is sent to both ranges.
+    Texts are shuffled once, to ranges of places (doc_id, then a digest of the text, so that rows which share an id or have none spread).
+    Splitters are places that occur, so the neighbour of a range's last row is known: that one row (two rows for each range in all) is sent
+    to both ranges.
     """
     spark = docs.sparkSession
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(MAX_PARTITIONS, max(shuffle_width(spark), -(-total // PARTITION_BYTES))))
-    found = chosen.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("cuts"), F.max("doc_id").alias("top")).first()
-    splitters = sorted({x for x in (found.cuts or []) if x is not None and x < found.top}) if n > 1 else []
+    text = F.coalesce("text", F.lit(""))
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64(text).alias("d"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), place.alias("place"))
+    facts = chosen.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows"), F.max("place").alias("top")).first()
+    n = int(min(MAX_PARTITIONS, max(shuffle_width(spark), -(-(facts.bytes or 0) // PARTITION_BYTES))))
+    share = min(1.0, SAMPLES * n / max(1, facts.rows))
+    drawn = sorted({(r.place.i, r.place.d) for r in chosen.select("place").sample(fraction=share, seed=5).collect()})
+    top = (facts.top.i, facts.top.d) if facts.rows else None
+    splitters = sorted({drawn[i * len(drawn) // n] for i in range(1, n)} - {top}) if drawn else []
+    own = chosen.withColumn("bucket", _below(splitters) if splitters else F.lit(0)).withColumn("guest", F.lit(False))
     last = len(splitters)
-    own = chosen.withColumn("bucket", _bucket(splitters).cast("int")).withColumn("guest", F.lit(False))
     if splitters:
-        to = F.when(F.col("doc_id") == found.top, 0).when(F.col("doc_id").isin(splitters), F.col("bucket") + 1)
-        own = own.withColumn("place", F.explode(F.when(to.isNull(), F.array(F.struct("bucket", "guest"))).otherwise(F.array(F.struct("bucket", "guest"), F.struct(to.cast("int").alias("bucket"), F.lit(True).alias("guest"))))))
-        own = own.select("doc_id", "text", "place.bucket", "place.guest")
-    ranged = own.repartitionById(last + 1, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
+        # a splitter is the first of its range in descending order, so it follows the last row of the range above; the first row of all follows the last
+        at = F.struct("bucket", "guest")
+        occurs = F.array_contains(F.from_json(F.lit(json.dumps([{"i": i, "d": d} for i, d in splitters])), f"array<{_PLACE}>"), F.col("place"))
+        above = F.when(F.col("place") == F.struct(F.lit(top[0]).cast("long").alias("i"), F.lit(top[1]).cast("long").alias("d")), 0).when(occurs, F.col("bucket") + 1)
+        own = own.withColumn("at", F.explode(F.when(above.isNull(), F.array(at)).otherwise(F.array(at, F.struct(above.cast("int").alias("bucket"), F.lit(True).alias("guest"))))))
+        own = own.select("doc_id", "text", "place", "at.bucket", "at.guest")
+    ranged = own.repartitionById(last + 1, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc("place"), "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

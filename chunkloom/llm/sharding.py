@@ -4,11 +4,12 @@ Groups (equal texts) stand in the order of their digests. The smallest feasible
 capacity is checked greedily on prefix sums. The prefix sums stay distributed: the driver sees sums of at most some 100,000 cells of the
 digest space and splits only those cells that a cut could fall into, six bits at a time, until both bounds of the capacity meet.
 
-A group at least as large as the mean of what is left gets a shard of its own first (it could not share one without making it the
-largest); the rest is dealt to the other shards. So one huge group does not leave shards empty.
+The order of the groups is part of this law: groups at least as large as the mean of what is left come first, the largest of all before the
+others, each in a shard of its own (it could not share one without making it the largest); the rest follows in the order of digests and
+is dealt to the other shards. So one huge group does not leave shards empty.
 
 Cases: a null text counts as no byte and belongs to the group of the empty text; null and repeated ids are rows like any other; with
-fewer groups than shards, shards stay empty; an empty table gives no row; extra columns are ignored.
+fewer groups than shards, shards stay empty; an empty table gives no row; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from chunkloom.llm.common import cut
 
 ROW_BYTES = 16
-SALTS = 64
+#: Rows of the whole table for each salt, and least number of salts: a group of a third of all rows gives each of its parts a third of these.
+ROWS_PER_SALT, LEAST_SALTS = 1 << 20, 64
 FIRST_BITS, STEP_BITS, KEY_BITS = 12, 6, 60
 
 
@@ -152,15 +154,15 @@ def shard_groups(rows: DataFrame, shards: int) -> DataFrame:
     for i, condition in enumerate(alone):
         dealt = dealt.unionByName(sums.where(condition).select("group", F.lit(i).alias("shard"), F.lit(0).cast("long").alias("slots")))
     parts = rows.groupBy("group", "salt").agg(F.count("*").alias("k"))
-    earlier = Window.partitionBy("group").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # at most SALTS rows
+    earlier = Window.partitionBy("group").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as salts
     return parts.withColumn("k0", F.coalesce(F.sum("k").over(earlier), F.lit(0))).join(dealt, "group").select("group", "salt", "shard", (F.col("slots") + F.col("k0")).alias("base"))
 
 
 def shard_documents(documents: DataFrame, shards: int = 40, row_bytes: int = ROW_BYTES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document; sizes of shards are near equal (law bytes).
 
-    Texts are read once and never shuffled: digests, sizes and checksums go on. A group's rows are split by a salt of the id before any
-    sort, so a group of a third of all rows is numbered by SALTS tasks.
+    Texts are read once and never shuffled: digests, sizes and checksums go on. A group's rows are split by a salt before any sort, so that
+    many tasks number a group of a third of all rows; salts grow with the table. Rows without an id are dealt by their place in the input.
     """
     text = F.coalesce("text", F.lit(""))
     slim = cut(
@@ -169,9 +171,11 @@ def shard_documents(documents: DataFrame, shards: int = 40, row_bytes: int = ROW
             (F.octet_length(text) + F.lit(row_bytes)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.unhex(F.sha2(text.cast("binary"), 256)).alias("group"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+            F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id")).alias("deal"),
         )
     )
+    salts = max(LEAST_SALTS, slim.count() // ROWS_PER_SALT)
+    slim = slim.withColumn("salt", F.pmod("deal", F.lit(salts)).cast("int")).drop("deal")
     places = shard_groups(slim, shards)
     rank = F.row_number().over(Window.partitionBy("group", "salt").orderBy("doc_id")) - 1
     joined = slim.withColumn("rank", rank).join(places, ["group", "salt"])

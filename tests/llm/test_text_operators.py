@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chunkloom.llm import bpe, fingerprints, packing, queries, sharding, simhash, suffix_dedup, url_filter
+from tests.llm.conftest import sentence
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -216,6 +217,17 @@ def test_shards_of_awkward_rows(spark, awkward, empty):
     assert len({r.shard for r in rows if r.doc_id in (4, 5)}) == 1
 
 
+def test_slots_of_rows_without_ids(spark, monkeypatch):
+    """Equal texts without an id are dealt to many salts, and each row has a slot of its own."""
+    monkeypatch.setattr(sharding, "ROWS_PER_SALT", 4)
+    rows = [(None if i % 2 else i, "hot " * 50 if i % 3 == 0 else f"text {i % 7}") for i in range(900)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 900 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_hot_group_leaves_no_empty_shard(spark):
     rows = [(i, "hot " * 50 if i % 3 == 0 else f"text {i} " * (1 + i % 9)) for i in range(600)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("s")).collect()
@@ -243,6 +255,46 @@ def test_edits_and_fingerprints(spark, docs, docs_rows):
     assert np.mean([r.near_edited for r in longer]) > 0.5 > 3 * np.mean([r.near_next for r in longer if r.near_next < 0.5] or [0])
 
 
+def plain_chunks(text):
+    """Chunks by the rule itself, byte by byte: a sum of shifted gear values over 16 bytes, a strict and then an easy limit."""
+    raw, out, start = text.encode(), [], 0
+    gear = [int(g) for g in np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)]
+    while start < len(raw):
+        end = start + 1
+        while end < len(raw) and end - start < fingerprints.MOST:
+            h = sum(gear[raw[k]] << (end - 1 - k) for k in range(max(0, end - 16), end)) & 0xFFFF
+            bits = fingerprints.STRICT_BITS if end - start < fingerprints.NORMAL else fingerprints.EASY_BITS
+            if end - start >= fingerprints.LEAST and h >> (16 - bits) == 0 and len(raw) - start > fingerprints.LEAST:
+                break
+            end += 1
+        out.append(raw[start:end])
+        start = end
+    return out
+
+
+def test_likeness_against_plain_chunks(spark, docs, docs_rows):
+    """near_edited and near_next are shares of the bytes of a text's distinct chunks, cut and compared one by one."""
+    order = sorted(docs_rows, key=lambda d: -d[0])
+    share = lambda a, b: (sum(map(len, set(a) & set(b))) / sum(map(len, set(a)))) if a else float(not b)
+    got = {r.doc_id: r for r in fingerprints.edit_likeness(docs).collect()}
+    for (i, t, *_), (_, after, *_) in zip(order, [*order[1:], order[0]]):
+        own, changed = plain_chunks(t), plain_chunks(fingerprints.edited(t, after))
+        assert got[i].near_edited == pytest.approx(share(own, changed), abs=1e-12) and got[i].near_next == pytest.approx(share(own, plain_chunks(after)), abs=1e-12)
+
+
+def test_order_of_rows_that_share_an_id(spark, monkeypatch):
+    """Many rows without an id and of one id, in many ranges: descending id, then the digest of the text."""
+    monkeypatch.setattr(fingerprints, "shuffle_width", lambda _: 23)
+    r = random.Random(51)
+    rows = [(r.choice([None, None, 7, i + 10]), sentence(r, r.randrange(0, 12))) for i in range(300)]
+    rows += rows[:5]
+    key = lambda d: (d[0] if d[0] is not None else -(1 << 63), xxhash64(d[1]), d[1])
+    order = sorted(rows, key=key, reverse=True)
+    expected = [(i, len(t), hashlib.sha256(fingerprints.edited(t, after[1]).encode()).hexdigest()) for (i, t), after in zip(order, [*order[1:], order[0]])]
+    got = fingerprints.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(((x.doc_id, x.n_chars, x.edited_sha256) for x in got), key=str) == sorted(expected, key=str)
+
+
 def test_fingerprints_of_awkward_rows(spark, awkward, empty):
     rows = fingerprints.edit_likeness(awkward).collect()
     assert len(rows) == awkward.count() and fingerprints.edit_likeness(empty).count() == 0
