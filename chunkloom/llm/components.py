@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import cut
+from chunkloom.llm.common import stored
 
 
 def local_forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -44,11 +44,11 @@ def _all_stars(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: every node of edges (a, b, both long and not null) but the roots, with the smallest node it reaches.
 
-    Each round is two aggregations and two joins with partial sums and skew handling by the engine, and ends in a checkpoint. Rounds go
+    Each round is two aggregations and two joins with partial sums and skew handling by the engine, and ends in a written table. Rounds go
     with the logarithm of the number of nodes; they end when all components are stars around their smallest nodes. Nothing but one flag a
     round reaches the driver.
     """
-    state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         if _all_stars(state):
             break
@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = with_least(large, low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        state = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return state.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -10,9 +10,10 @@ those same sets. Whether a pair of a given similarity shares a band does not han
 paragraphs are found as well as scattered words.
 
 Equal fingerprints (or sets) are collapsed before the search. Within a bucket only a spanning forest of the verified links is written, so a large
-group of copies gives no more rows than it has members. With a similarity of shingle sets asked for, each member's nearest partner is
-written too; the sets of these links are then compared exactly, and only links that pass count. Where that leaves what candidates hold
-together in several components, the candidate pairs between those are compared too, in rounds, until none is left.
+group of copies gives no more rows than it has members. With a similarity of shingle sets asked for, those forests only say which nodes may
+belong together: every link lies within a component of candidates. The sets of such a part are then compared exactly in blocks of bounded size,
+and again a spanning forest of the links is written. Parts of several blocks are dealt anew a few times; candidate pairs between what is then
+still apart are compared one by one, until none is left.
 
 Cases: null and empty texts have fingerprint zero and are linked like others; texts shorter than a shingle are one shingle; very long
 texts are read whole; repeated rows and ids share a component; null ids never name a component (it is null if no member has an id).
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import cut, power_tables
+from chunkloom.llm.common import cut, power_tables, stored
 from chunkloom.llm.components import connected_components, local_forest, with_least
 
 BITS, SEED = 64, 42
@@ -312,14 +313,6 @@ class Linker:
         ok = apart <= self.check
         return a[ok], b[ok], apart[ok]
 
-    def note(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-        """Remembers the nearest partner of each row."""
-        for x, y in ((a, b), (b, a)):
-            order = np.lexsort((apart, x))
-            first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order
-            first = first[apart[first] < self.best[x[first]]]
-            self.best[x[first]], self.partner[x[first]] = apart[first], y[first]
-
     def small(self, prints: np.ndarray, checks: np.ndarray | None, bucket: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Near pairs of rows of one bucket, by their distance in the sorted order."""
         at, d = np.arange(len(bucket)), 1
@@ -346,7 +339,7 @@ class Linker:
                     pairs += [self.large(prints, checks, part, rest) for part in np.split(rows[order], cuts) if len(part) > 1]
                 return np.concatenate([p for p in pairs if len(p)] or [np.empty((0, 2), np.int64)])
         own, marks = prints[rows], None if checks is None else checks[rows]
-        label, step, first = np.arange(len(rows)), max(1, BLOCK_CELLS // len(rows)), True
+        label, step = np.arange(len(rows)), max(1, BLOCK_CELLS // len(rows))
         while True:
             joined: list[np.ndarray] = []
             for at in range(0, len(rows), step):
@@ -356,17 +349,11 @@ class Linker:
                 if marks is not None:
                     apart = sum(np.bitwise_count(marks[here, None, k] ^ marks[None, :, k]).astype(np.int32) for k in range(4))
                     near &= apart <= self.check
-                    if first:
-                        apart[~near] = 1 << 30
-                        closest = apart.argmin(1)
-                        least = apart[here - at, closest]
-                        better = least < self.best[rows[here]]
-                        self.best[rows[here[better]]], self.partner[rows[here[better]]] = least[better], rows[closest[better]]
                 # each row joins its neighbour of the lowest label, until no row has a neighbour with another label
                 lowest = np.where(near, label[None, :], len(rows)).argmin(1)
                 moves = near[here - at, lowest] & (label[lowest] < label[here])
                 joined.append(np.stack([here[moves], lowest[moves]], 1))
-            first, pairs = False, np.concatenate(joined)
+            pairs = np.concatenate(joined)
             if not len(pairs):
                 break
             label = local_forest(np.concatenate([pairs[:, 0], np.arange(len(rows))]), np.concatenate([pairs[:, 1], label]), len(rows))
@@ -374,8 +361,7 @@ class Linker:
         return np.stack([rows[moved], rows[label[moved]]], 1)
 
     def links(self, probe: np.ndarray, key: np.ndarray, prints: np.ndarray, checks: np.ndarray | None, masks: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of a spanning forest over whole buckets (equal probe and key, sorted by them); with checks, of nearest partners too."""
-        self.best, self.partner = np.full(len(probe), 1 << 30), np.zeros(len(probe), np.int64)
+        """Row numbers of a spanning forest over whole buckets (equal probe and key, sorted by them)."""
         change = np.concatenate([[True], (probe[1:] != probe[:-1]) | (key[1:] != key[:-1])])
         bucket = np.cumsum(change) - 1
         counts = np.bincount(bucket)
@@ -384,10 +370,8 @@ class Linker:
         pairs = []
         if len(rows):
             held: list[np.ndarray] = []
-            for left, right, apart in self.small(prints[rows], None if checks is None else checks[rows], bucket[rows], size[rows]):
+            for left, right, _ in self.small(prints[rows], None if checks is None else checks[rows], bucket[rows], size[rows]):
                 held.append(np.stack([rows[left], rows[right]], 1))
-                if checks is not None:
-                    self.note(rows[left], rows[right], apart)
                 if sum(map(len, held)) > HELD_LINKS:
                     held = [self.forest(np.concatenate(held), len(probe))]
             pairs += held
@@ -396,8 +380,7 @@ class Linker:
             own = np.arange(starts[b], starts[b] + counts[b])
             pairs.append(self.large(prints, checks, own, [] if masks is None else [i for i in range(BITS) if not masks[probe[own[0]]] >> i & 1]))
         tree = self.forest(np.concatenate([p for p in pairs if len(p)] or [np.empty((0, 2), np.int64)]), len(probe))
-        close = np.flatnonzero(self.best < 1 << 30)
-        return np.concatenate([tree[:, 0], close]), np.concatenate([tree[:, 1], self.partner[close]])
+        return tree[:, 0], tree[:, 1]
 
     def across(self, probe: np.ndarray, key: np.ndarray, prints: np.ndarray, checks: np.ndarray, label: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Near pairs of rows of one bucket (equal probe and key, sorted by them) with unlike labels: the nearest most of each row, and whether it has more."""
@@ -518,12 +501,12 @@ def pairs_across(nodes: DataFrame, settings: Settings, most: int) -> DataFrame:
 
 
 def node_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """node, set: the shingle sets (sorted 32-bit hashes) of the nodes that links (a, b) name.
+    """node, check, set: fingerprints and shingle sets (sorted hashes) of the nodes that links (a, b) name.
 
     Rows that may hold them are found by a node's smallest id; which of them does is told by the digest of its set, so that neither rows that
     share an id nor rows without one are taken for each other.
     """
-    named = cut(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.select("node", "first_id"), "node"))
+    named = stored(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.select("node", "first_id"), "node"))
     ids = named.where("first_id IS NOT NULL").select(F.col("first_id").alias("doc_id")).distinct()
     texts = docs.join(ids, "doc_id", "left_semi").select("text")
     if not named.where("first_id IS NULL").isEmpty():
@@ -534,10 +517,94 @@ def node_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Set
             for portion in text_portions(batch.column(0).to_pylist()):
                 sets = shingle_sets(portion, settings.words)
                 digests = pa.array(np.array([set_digest(s) for s in sets], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([digests, pa.array([np.unique(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())], ["node", "set"])
+                checks = pa.array([set_fingerprint(s).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, checks, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "check", "set"])
+
+    found = texts.mapInArrow(hash_sets, "node long, check binary, set binary").join(named.select("node"), "node", "left_semi")
+    return stored(found.groupBy("node").agg(F.first("check").alias("check"), F.first("set").alias("set")))
+
+
+#: Bytes of sets that are compared in one task, and cells of the table of members that is held for it.
+BLOCK_BYTES, TABLE_CELLS = 8 << 20, 1 << 25
+
+
+class SetCounts:
+    """Counts what one set has in common with others: over bits of a table of members where that is small, else by search."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sets, self.bits = sets, None
+        known, times = np.unique(np.concatenate(sets), return_counts=True)
+        known = known[times > 1]
+        if len(known) and len(sets) * len(known) <= TABLE_CELLS:
+            table = np.zeros((len(sets), -(-len(known) // 64) * 64), bool)
+            for row, own in zip(table, sets):
+                at = np.searchsorted(known, own)
+                row[at[known[np.minimum(at, len(known) - 1)] == own]] = True
+            self.bits = np.packbits(table, axis=1).view(np.uint64)
+
+    def with_each(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[others] & self.bits[i]).sum(1, dtype=np.int64)
+        own, flat = self.sets[i], np.concatenate([self.sets[j] for j in others])
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        return np.add.reduceat(hit.astype(np.int64), np.cumsum([0] + [len(self.sets[j]) for j in others[:-1]]))
+
+
+def similar_sets(checks: np.ndarray, sets: list[np.ndarray], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers, a spanning forest of the pairs of sets that are similar enough.
+
+    The rows nearest to the others come first: they join most of a group, and pairs within a component need no comparison.
+    """
+    n, limit, counts = len(sets), settings.check_distance, SetCounts(sets)
+    sizes, label, fresh = np.array([len(s) for s in sets]), np.arange(n), np.ones(n, bool)
+    apart = lambda i: np.bitwise_count(checks ^ checks[i]).sum(1, dtype=np.int64)
+    close = np.array([np.maximum(0, limit + 1 - apart(i)).sum() for i in range(n)])
+    a, b = [], []
+    for i in np.argsort(-close, kind="stable").tolist():
+        fresh[i] = False
+        alike = (apart(i) <= limit) & (np.minimum(sizes, sizes[i]) >= settings.similarity * np.maximum(sizes, sizes[i]))
+        others = np.flatnonzero(fresh & (label != label[i]) & alike)
+        if not len(others):
+            continue
+        common = counts.with_each(i, others)
+        linked = others[common >= settings.similarity * (sizes[others] + sizes[i] - common)]
+        if len(linked):
+            joined, first = np.unique(label[linked], return_index=True)
+            a += [i] * len(joined)
+            b += linked[first].tolist()
+            label[np.isin(label, joined)] = label[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
 
-    found = texts.mapInArrow(hash_sets, "node long, set binary").join(named.select("node"), "node", "left_semi")
-    return cut(found.groupBy("node").agg(F.first("set").alias("set")))
+def block_links(members: DataFrame, sets: DataFrame, settings: Settings, salt: int) -> DataFrame:
+    """a, b: a spanning forest of the similar pairs within each block of a part. members: node, part, blocks.
+
+    Each set crosses one shuffle; a task holds one block (some BLOCK_BYTES of sets) at a time.
+    """
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")).drop("blocks").join(sets, "node")
+    dealt = dealt.select("part", "block", "node", "check", "set").repartition("part", "block").sortWithinPartitions("part", "block", "node")
+
+    def compared(nodes: list[int], checks: list[bytes], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(nodes) > 1:
+            a, b = similar_sets(np.frombuffer(b"".join(checks), np.uint64).reshape(-1, 4), sets, settings)
+            if len(a):
+                own = np.array(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes, checks, found = None, [], [], []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for i, (part, block, node, check) in enumerate(zip(*columns, strict=True)):
+                if (part, block) != held:
+                    yield from compared(nodes, checks, found)
+                    held, nodes, checks, found = (part, block), [], [], []
+                nodes.append(node)
+                checks.append(check)
+                found.append(np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64))
+        yield from compared(nodes, checks, found)
+
+    return dealt.mapInArrow(work, "a long, b long")
 
 
 def verified_links(links: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -553,7 +620,7 @@ def verified_links(links: DataFrame, sets: DataFrame, settings: Settings) -> Dat
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -563,39 +630,57 @@ def verified_links(links: DataFrame, sets: DataFrame, settings: Settings) -> Dat
 
 #: Partners of a row in a bucket that the first round between components compares; each further round takes this many times as many.
 ROUND = 8
+#: How often the nodes of a part of several blocks are dealt, each time to other blocks.
+DEALT = 4
 
 
 def similar_components(nodes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """node, root as connected_components gives them, over all candidate pairs whose sets are similar enough.
 
-    The first links are a spanning forest of the candidates and nearest partners. Where some of them fail, what the forest joins may hold
-    several components; only the nodes of such parts are probed again, and only pairs between components are compared. A round takes each
+    Components of candidates are compared block by block. One block settles a part for good; what several blocks leave apart goes on to
+    pairs between components.
+    """
+    tested = stored(bucket_links(nodes, None, settings).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    sets = node_sets(tested, nodes, docs, settings)
+    parts = connected_components(tested)
+    parts = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
+    sized = stored(parts.join(sets.select("node", F.octet_length("set").alias("n")), "node").select(F.col("root").alias("a"), F.col("node").alias("b"), "n"))
+    blocks = sized.groupBy("a").agg(F.ceil(F.sum("n") / BLOCK_BYTES).alias("m"))
+    members = stored(with_least(sized, blocks).select(F.col("b").alias("node"), F.col("a").alias("part"), F.greatest("m", F.lit(1)).alias("blocks")))
+    passed = stored(block_links(members, sets, settings, 0))
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return connected_components(passed)
+    for salt in range(1, DEALT):
+        passed = stored(passed.unionByName(block_links(large, sets, settings, salt)))
+    return components_across(nodes, large.select("node", "part"), sets, passed, settings)
+
+
+def components_across(nodes: DataFrame, parts: DataFrame, sets: DataFrame, passed: DataFrame, settings: Settings) -> DataFrame:
+    """node, root over the links passed and all similar candidate pairs within parts (node, part).
+
+    Only nodes of parts that hold several components are probed again, and only pairs between components are compared. A round takes each
     row's nearest partners, the next more of them, until no row has any left over: then every candidate pair was compared or lies within
     a component. Pairs within a component, which grow with the square of a group of copies, are never written.
     """
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    tested = cut(bucket_links(nodes, None, settings).select(*ordered).distinct())
-    sets = node_sets(tested, nodes, docs, settings)
-    passed = cut(verified_links(tested, sets, settings))
-    parts = connected_components(tested)
-    parts = cut(parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct()))
-    most, roots = ROUND, connected_components(passed)
+    most, roots, tested = ROUND, connected_components(passed), None
     while True:
-        labelled = parts.withColumnRenamed("root", "part").join(roots, "node", "left").select("node", "part", F.coalesce("root", "node").alias("label"))
+        labelled = parts.join(roots, "node", "left").select("node", "part", F.coalesce("root", "node").alias("label"))
         split = labelled.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("part").alias("a"), F.lit(1).alias("m"))
         unsettled = with_least(labelled.select(F.col("part").alias("a"), F.col("node").alias("b"), "label"), split).select(F.col("b").alias("node"), "label")
-        unsettled = cut(nodes.select("node", "fp", "check", "bands").join(unsettled, "node"))
+        unsettled = stored(nodes.select("node", "fp", "check", "bands").join(unsettled, "node"))
         if unsettled.isEmpty():
             return roots
-        pairs = cut(pairs_across(unsettled, settings, most).select(*ordered, "more").groupBy("a", "b").agg(F.max("more").alias("more")))
-        fresh = cut(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        joined = cut(verified_links(fresh, sets, settings))
+        pairs = stored(pairs_across(unsettled, settings, most).select(*ordered, "more").groupBy("a", "b").agg(F.max("more").alias("more")))
+        fresh = pairs.select("a", "b") if tested is None else stored(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        joined = stored(verified_links(fresh, sets, settings))
         if not joined.isEmpty():
-            passed = cut(passed.unionByName(joined))
+            passed = stored(passed.unionByName(joined))
             roots = connected_components(passed)
         if pairs.where("more").isEmpty():
             return roots
-        tested = cut(tested.unionByName(fresh))
+        tested = fresh if tested is None else stored(tested.unionByName(fresh))
         most *= ROUND
 
 

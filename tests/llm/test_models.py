@@ -331,8 +331,29 @@ def exact_components(sets, least=0.8):
     return label
 
 
-def test_candidates_that_a_forest_leaves_out_are_compared(spark):
+@pytest.mark.parametrize("cells", [0, 1 << 25])
+def test_similar_sets_against_all_pairs(monkeypatch, cells):
+    """By search and by bits: the forest holds together just what pairs at 0.8 or more do."""
+    monkeypatch.setattr(simhash, "TABLE_CELLS", cells)
+    r = random.Random(23)
+    texts = []
+    for _ in range(6):
+        line = sentence(r, r.choice((20, 80, 300))).split()
+        for _ in range(15):
+            at = r.randrange(len(line))
+            texts.append(" ".join([*line[:at], *(f"n{r.randrange(10**6)}" for _ in range(r.randrange(0, max(2, len(line) // 15)))), *line[at + 1 :]]))
+    texts = list(dict.fromkeys(texts))
+    sets = simhash.shingle_sets([t.encode() for t in texts], 5)
+    a, b = simhash.similar_sets(np.array([simhash.set_fingerprint(x) for x in sets]), sets, simhash.FIVE_WORDS)
+    got = simhash.local_forest(a, b, len(texts))
+    expected = exact_components({i: shingles(t) for i, t in enumerate(texts)})
+    assert {i: int(x) for i, x in enumerate(got)} == expected and len(set(expected.values())) > 6 and len(a) == len(texts) - len(set(expected.values()))
+
+
+@pytest.mark.parametrize("block", [8 << 20, 30_000])
+def test_candidates_that_a_forest_leaves_out_are_compared(spark, monkeypatch, block):
     """Families of versions that drift from one another: many candidate pairs are under 0.8, so a forest of candidates does not hold the links."""
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
     r = random.Random(31)
     texts = []
     for versions in (12, 30, 12, 30, 12, 30):
