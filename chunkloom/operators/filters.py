@@ -108,9 +108,12 @@ def undo_row(kind: int, line: np.ndarray, above: np.ndarray, bpp: int) -> np.nda
     return np.array(out[bpp:], np.uint8)
 
 
-def undo_image(lines: list[tuple[int, bytes]], bpp: int) -> list[bytes]:
+def undo_image(lines: list[tuple[int, bytes]], bpp: int) -> list[bytes | None]:
+    """Rows without their filters; null from the first row on whose filter does not exist, since each row needs the one above."""
     above, out = None, []
     for kind, raw in lines:
+        if not 0 <= kind < len(NAMES):
+            return out + [None] * (len(lines) - len(out))
         line = np.frombuffer(raw, np.uint8)
         above = undo_row(kind, line, np.zeros(len(line), np.uint8) if above is None else above, bpp)
         out.append(above.tobytes())
@@ -118,7 +121,10 @@ def undo_image(lines: list[tuple[int, bytes]], bpp: int) -> list[bytes]:
 
 
 def unfilter_scanlines(lines: DataFrame, bpp: str = "bpp", keep: tuple[str, ...] = ()) -> DataFrame:
-    """image_id, y, row, keep: rows of scanlines (image_id, y, filter, row, bpp) without their filters. One task works on one image at a time."""
+    """image_id, y, row, keep: rows of scanlines (image_id, y, filter, row, bpp) without their filters; row is null where a filter is unknown.
+
+    One task works on one image at a time.
+    """
     chosen = lines.select("image_id", "y", "filter", "row", F.col(bpp).alias("bpp"), *keep)
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:

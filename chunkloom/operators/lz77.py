@@ -116,7 +116,9 @@ def expand(found: list[tuple[int | None, int | None, int | None]], history: byte
 
 
 def expand_tokens(token_rows: DataFrame, chained: bool = False) -> DataFrame:
-    """stream_id, block_no, data. chained: matches may reach into earlier blocks of the stream (then block_no is 0 for the whole).
+    """stream_id, block_no, data, error. chained: matches may reach into earlier blocks of the stream (then block_no is 0 for the whole).
+
+    Tokens that cannot be expanded give no data but an error, and leave other streams alone.
 
     A block's tokens (at most BLOCK of them) are gathered in one row; with chained, a stream's.
     """
@@ -127,10 +129,17 @@ def expand_tokens(token_rows: DataFrame, chained: bool = False) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [expand([(x["lit"], x["len"], x["dist"]) for x in t]) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["stream_id", "block_no", "data"])
-
-    return rows.mapInArrow(work, "stream_id long, block_no int, data binary")
+            data, errors = [], []
+            for t in batch.column(2).to_pylist():
+                try:
+                    data.append(expand([(x["lit"], x["len"], x["dist"]) for x in t]))
+                    errors.append(None)
+                except ValueError as e:
+                    data.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(errors, pa.string())], ["stream_id", "block_no", "data", "error"])
+
+    return rows.mapInArrow(work, "stream_id long, block_no int, data binary, error string")
 
 
 def in_dictionary(matches: DataFrame, positions: DataFrame) -> DataFrame:

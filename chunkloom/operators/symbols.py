@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys whose bytes a task counts before it sends their numbers on.
+HELD_KEYS = 4096
+
+
 def byte_histogram(df: DataFrame, column: str) -> DataFrame:
     """value, frequency of the bytes of a text or binary column that occur.
 
@@ -29,6 +33,33 @@ def byte_histogram(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).mapInArrow(count, "value int, n long").groupBy("value").agg(F.sum("n").alias("frequency"))
 
 
+def byte_histogram_by(df: DataFrame, column: str, key: str) -> DataFrame:
+    """key, value, frequency for all bytes 0..255 of a text or binary column, empty bins included, of each key that has any byte."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[object, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            n = len(totals)
+            keys = pa.array([k for k in totals for _ in range(256)], kind)
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(256, dtype=np.int32), n)), pa.array(np.concatenate(list(totals.values())))], [key, "value", "n"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for own, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if value.is_valid and len(value.as_buffer()):
+                    if own not in totals and len(totals) == HELD_KEYS:
+                        yield sent()
+                        totals = {}
+                    totals.setdefault(own, np.zeros(256, np.int64))[:] += np.bincount(np.frombuffer(value.as_buffer(), np.uint8), minlength=256)
+        if totals:
+            yield sent()
+
+    chosen = df.select(key, column)
+    counts = chosen.mapInArrow(count, f"{key} {chosen.schema[0].dataType.simpleString()}, value int, n long")
+    return counts.groupBy(key, "value").agg(F.sum("n").alias("frequency"))
+
+
 def symbol_histogram(symbols: DataFrame, size: int, keys: tuple[str, ...] = (), value: str = "value") -> DataFrame:
     """keys, value, frequency for all values 0..size-1, empty bins included (256 to 288 of them for each key)."""
     counts = symbols.where(F.col(value).between(0, size - 1)).groupBy(*keys, value).agg(F.count("*").alias("frequency"))

@@ -14,12 +14,12 @@ from chunkloom.sources import png
 def decode(images: DataFrame) -> DataFrame:
     """image_id, y, x, r, g, b, a of images (image_id, content). Unsupported or damaged images give no pixels: see image_status.
 
-    Files are parsed once; the only shuffle brings the scanlines of an image together.
+    Rows from an unknown filter on give none either. Files are parsed once; the only shuffle brings the scanlines of an image together.
     """
     kept = ("color_type", "bit_depth")
-    able = png.image_parts(images).where("NOT unsupported").select("image_id", "idat", F.col("stride").cast("int"), "bpp", *kept)
+    able = png.image_parts(images).where("NOT unsupported").select("image_id", "idat", "stride", "bpp", *kept)
     raw = inflate(able, "idat", "raw").where("raw IS NOT NULL")
-    return px.pixels(unfilter_scanlines(split_scanlines(raw, kept), keep=kept))
+    return px.pixels(unfilter_scanlines(split_scanlines(raw, kept), keep=kept).where("row IS NOT NULL"))
 
 
 def show(images: DataFrame) -> DataFrame:

@@ -49,9 +49,8 @@ def symbol_frequency_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_histogram_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First bytes of documents by language, empty bins included."""
-    firsts = table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("lang", F.ascii(F.substring("text", 1, 1)).alias("value"))
-    return symbols.symbol_histogram(firsts.where("value < 128"), 128, ("lang",))
+    """All bytes of documents by language, empty bins included."""
+    return symbols.byte_histogram_by(table(spark, sf_dir, "documents"), "text", "lang")
 
 
 def non_empty_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,8 +291,10 @@ def inflate_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = raster(spark, sf_dir).where("i < 63")
-    wide = cells.groupBy("image_id", "y", F.floor(F.col("i") / 3).cast("int").alias("x")).agg(*[F.max(F.when(F.col("i") % 3 == k, F.col("x"))).alias(c) for k, c in enumerate("rgb")])
+    """Three samples a pixel; the last one of a row is filled up with zeros."""
+    cells = raster(spark, sf_dir)
+    sample = lambda k: F.coalesce(F.max(F.when(F.col("i") % 3 == k, F.col("x"))), F.lit(0))
+    wide = cells.groupBy("image_id", "y", F.floor(F.col("i") / 3).cast("int").alias("x")).agg(*[sample(k).alias(c) for k, c in enumerate("rgb")])
     return wide.withColumn("a", F.lit(255))
 
 
@@ -360,10 +361,11 @@ _ROWS = "rows_ AS (SELECT l_orderkey // 300 AS key, CAST(l_orderkey % 300 AS INT
 _RUNS = f"""{_ROWS}, isl AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sym) - row_number() OVER (PARTITION BY key, len ORDER BY sym) AS g FROM rows_),
 runs AS (SELECT key, len, min(sym) AS start, count(*) AS n FROM isl GROUP BY key, len, g)"""
 _BYTES = "SELECT ('0x' || p)::INT AS value FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS p FROM documents)"
-_FIRST = "firsts AS (SELECT lang, ascii(text[1]) AS value FROM documents WHERE octet_length(encode(text)) > 0)"
-_BINS = f"""{_FIRST}, langs AS (SELECT DISTINCT lang FROM firsts WHERE value < 128), bins AS (SELECT lang, CAST(unnest(range(128)) AS INT) AS value FROM langs),
-h AS (SELECT b.lang, b.value, count(f.value) AS frequency FROM bins b LEFT JOIN firsts f ON f.lang = b.lang AND f.value = b.value GROUP BY ALL)"""
-_PIXELS = f"WITH {RASTER_SQL}, p AS (SELECT image_id, y, CAST(i // 3 AS INT) AS x, max(x) FILTER (i % 3 = 0) AS r, max(x) FILTER (i % 3 = 1) AS g, max(x) FILTER (i % 3 = 2) AS b, 255 AS a FROM px WHERE i < 63 GROUP BY image_id, y, i // 3)"
+_LANGS = "langs AS (SELECT DISTINCT lang FROM documents WHERE octet_length(encode(text)) > 0)"
+_BINS = f"""{_LANGS}, bins AS (SELECT lang, CAST(unnest(range(256)) AS INT) AS value FROM langs),
+f AS (SELECT lang, ('0x' || p)::INT AS value, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(hex(encode(text)), '..')) AS p FROM documents) GROUP BY ALL),
+h AS (SELECT b.lang, b.value, coalesce(f.n, 0) AS frequency FROM bins b LEFT JOIN f ON f.lang IS NOT DISTINCT FROM b.lang AND f.value = b.value)"""
+_PIXELS = f"WITH {RASTER_SQL}, p AS (SELECT image_id, y, CAST(i // 3 AS INT) AS x, max(x) FILTER (i % 3 = 0) AS r, coalesce(max(x) FILTER (i % 3 = 1), 0) AS g, coalesce(max(x) FILTER (i % 3 = 2), 0) AS b, 255 AS a FROM px GROUP BY image_id, y, i // 3)"
 _LEN = "CAST(l_partkey % 256 + 3 AS INT)"
 _DIST = "CAST(l_orderkey % 32768 + 1 AS INT)"
 _FIXED_LEN = "CASE WHEN s < 144 THEN 8 WHEN s < 256 THEN 9 WHEN s < 280 THEN 7 ELSE 8 END"
@@ -420,7 +422,7 @@ SELECT doc_id AS stream_id, CAST(block_no AS INT) AS block_no, CAST(least(32768,
     "encoded_bits": f"""WITH v AS (SELECT n_nationkey, regexp_extract_all(hex(encode(n_name)), '..') AS v FROM nation),
 c AS (SELECT n_nationkey, generate_subscripts(v, 1) AS i, 48 + ('0x' || unnest(v))::INT AS c FROM v)
 SELECT n_nationkey, string_agg(lpad(bin(c), 8, '0'), '' ORDER BY i) AS bits, string_agg(printf('%02X', {' + '.join(f'(((c >> {k}) & 1) << {7 - k})' for k in range(8))}), '' ORDER BY i) AS packed FROM c GROUP BY n_nationkey""",
-    "adjacent_kraft": f"WITH {_FIRST} SELECT DISTINCT lang, CAST(1.0 AS DOUBLE) AS kraft FROM firsts WHERE value < 128",
+    "adjacent_kraft": f"WITH {_LANGS} SELECT lang, CAST(1.0 AS DOUBLE) AS kraft FROM langs",
     "chunk_pack_parse": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, role, text FROM conversations",
     "chunk_counts": "SELECT conv_id, 0::BIGINT AS idat, count(*) AS text, 0::BIGINT AS ztxt, count(*) + 1 AS chunks FROM conversations GROUP BY conv_id",
     "chunk_report": """SELECT 'tEXt' AS type, 9 AS type_id, true AS crc_ok, false AS truncated, count(*) AS n, CAST(sum(octet_length(encode(role)) + 1 + octet_length(encode(text))) AS BIGINT) AS bytes FROM conversations

@@ -27,7 +27,10 @@ def file_sizes(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFr
 
 
 def split_chunks(content: bytes) -> list[tuple[int, int, str, int, bytes, int | None, bool]]:
-    """(seq, offset, type, length, data, crc, truncated) up to the end chunk or the end of the bytes."""
+    """(seq, offset, type, length, data, crc, truncated) up to the end chunk or the end of the bytes.
+
+    Bytes that end without an end chunk, also just after another chunk or within the signature, give a last row marked truncated.
+    """
     out, at = [], len(SIGNATURE)
     while at + 8 <= len(content):
         length = int.from_bytes(content[at : at + 4], "big")
@@ -39,8 +42,7 @@ def split_chunks(content: bytes) -> list[tuple[int, int, str, int, bytes, int |
         if tag == "IEND" or crc is None:
             return out
         at = end + 4
-    if at < len(content):
-        out.append((len(out), at, "", 0, content[at:], None, True))
+    out.append((len(out), min(at, len(content)), "", 0, content[at:], None, True))
     return out
 
 

@@ -284,3 +284,27 @@ def test_dumps_and_assertion(spark):
     assert (r.h, r.b, r.n) == ("00 FF 41", "0101", 5)
     with pytest.raises(Exception, match="they differ"):
         df.select(by.assert_equal(F.col("n"), F.lit(6), "they differ")).collect()
+
+
+def test_one_damaged_file_leaves_the_others_alone(spark):
+    """An unknown filter, a width beyond 31 bits, a cut after a chunk, a cut signature: flagged, without pixels, beside a good file."""
+    chunk = lambda tag, data: len(data).to_bytes(4, "big") + tag + data + zlib.crc32(tag + data).to_bytes(4, "big")
+    head = lambda w, h: chunk(b"IHDR", w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes((8, 0, 0, 0, 0)))
+    data = lambda raw: chunk(b"IDAT", zlib.compress(raw))
+    end, good = chunk(b"IEND", b""), png.SIGNATURE + head(3, 2) + data(b"\0abc\2\1\1\1")
+    files = [(1, good + end), (2, png.SIGNATURE + head(3, 2) + data(b"\0abc\7abc") + end), (3, png.SIGNATURE + head(2**32 - 1, 2) + data(b"\0abc") + end), (4, good), (5, png.SIGNATURE[:5]), (6, b"")]
+    images = spark.createDataFrame([(i, bytearray(c)) for i, c in files], "image_id long, content binary")
+    got = {}
+    for p in decode(images).collect():
+        got.setdefault(p.image_id, {})[p.y, p.x] = p.r
+    first = {(0, 0): 97, (0, 1): 98, (0, 2): 99}
+    assert got == {1: {**first, (1, 0): 98, (1, 1): 99, (1, 2): 100}, 2: first, 4: got[1]}
+    status = {r.image_id: r for r in image_status(images).collect()}
+    assert {i for i, r in status.items() if r.truncated} == {4, 5, 6} and set(status) == {1, 2, 3, 4, 5, 6}
+
+
+def test_bad_distance_is_an_error_row(spark):
+    rows = [(1, 0, 0, 0, 97, None, None), (1, 0, 1, 1, None, 4, 1), (2, 0, 0, 0, 97, None, None), (2, 0, 1, 1, None, 3, 9)]
+    tokens = spark.createDataFrame(rows, "stream_id long, block_no int, seq int, pos int, lit int, len int, dist int")
+    got = {r.stream_id: r for r in lz77.expand_tokens(tokens).collect()}
+    assert bytes(got[1].data) == b"aaaaa" and got[1].error is None and got[2].data is None and "before the start" in got[2].error
