@@ -167,17 +167,6 @@ def adjacent_prefix_code(histogram: DataFrame, keys: tuple[str, ...] = ()) -> Da
     return used.groupBy(*keys).applyInPandas(build, schema)
 
 
-def encode_symbols(symbols: DataFrame, codes: DataFrame, keys: tuple[str, ...] = (), position: str = "pos") -> DataFrame:
-    """keys, bits: the codes of the symbols of each key in order. codes (value, bits) is one alphabet for each key."""
-    joined = symbols.join(F.broadcast(codes) if not keys else codes, [*keys, "value"])
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), "bits")))
-    return joined.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x.bits), "").alias("bits"))
-
-
-def concat_bits(*parts: str) -> F.Column:
-    return F.concat(*parts)
-
-
 def pack_bits(bits: F.Column) -> F.Column:
     """A string of 0 and 1 as bytes, the first bit lowest in its byte, the last byte filled with zeros."""
     bytes_ = F.regexp_extract_all(F.rpad(bits, ((F.length(bits) + 7) / 8).cast("int") * 8, F.lit("0")), F.lit("(.{8})"), F.lit(1))

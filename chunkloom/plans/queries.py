@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import bytes as by
 from chunkloom.functions import dims
-from chunkloom.operators import deflate, filters, lz77, pixels, symbols
+from chunkloom.operators import deflate, encoder, filters, lz77, pixels, symbols
 from chunkloom.sources import png, writer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,6 +290,79 @@ def inflate_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(F.col("stream_id").cast("int").alias("n_nationkey"), "text")
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), by.utf8(F.col("text")).alias("data"))
+
+
+def deflate_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns through the encoder of this package, and back through zlib, which also tests their Adler-32."""
+    back = deflate.inflate(encoder.encode_streams(_turns(spark, sf_dir)), "data", "raw")
+    return back.select("stream_id", F.decode("raw", "UTF-8").alias("text"), F.col("raw_error").alias("error"))
+
+
+def deflate_own_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns through the encoder, decoded bit by bit: dynamic blocks, their tokens expanded."""
+    streams = encoder.encode_streams(_turns(spark, sf_dir))
+    blocks = deflate.inflate_blocks(streams).groupBy("stream_id").agg(F.count("*").alias("blocks"), F.min("type").alias("least_type"), F.max("type").alias("most_type"), F.bool_or("final").alias("final"))
+    text = lz77.expand_tokens(deflate.inflate_tokens(streams), chained=True).select("stream_id", F.decode("data", "UTF-8").alias("text"))
+    return blocks.join(text, "stream_id", "left")
+
+
+def inflate_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names in stored blocks, decoded bit by bit."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("stream_id"), by.utf8(F.col("p_name")).alias("data"))
+    streams = deflate.deflate(names, "data", "z", level=0).select("stream_id", F.col("z").alias("data"))
+    text = lz77.expand_tokens(deflate.inflate_tokens(streams), chained=True).select(F.col("stream_id").alias("p_partkey"), F.decode("data", "UTF-8").alias("text"))
+    return text.join(deflate.inflate_blocks(streams).select(F.col("stream_id").alias("p_partkey"), "type", "n_tokens"), "p_partkey")
+
+
+def symbol_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many symbols of a stream are literals and how many are length codes."""
+    symbol = F.col("l_partkey") % 300
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", dims.is_literal(symbol).alias("literal"), dims.is_length_code(symbol).alias("length"))
+    return rows.groupBy("l_suppkey").agg(F.count_if("literal").alias("literals"), F.count_if("length").alias("length_codes"))
+
+
+def _listed(values: F.Column) -> F.Column:
+    return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
+
+
+def color_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cHRM, hIST, sBIT and bKGD records made from parts and read back, a row each."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    content = F.concat(
+        writer.signature(), writer.ihdr(key, size, F.lit(8), F.lit(2)), writer.chrm(F.array(*[key + k for k in range(8)])), writer.sbit(F.array(size % 8, size % 7, size % 6)),
+        writer.hist(F.array(size, key % 65536)), writer.bkgd(F.array(size, key % 65536, F.lit(3))), writer.iend(),
+    )
+    rows = png.chunks(table(spark, sf_dir, "part").select(key.alias("image_id"), content.alias("content")))
+    chrm = F.array(*[f"{c}_{axis}" for c in ("white", "red", "green", "blue") for axis in "xy"])
+    kinds = (("cHRM", png.chrm(rows), chrm), ("hIST", png.hist(rows), F.col("frequencies")), ("sBIT", png.sbit(rows), F.col("bits")), ("bKGD", png.bkgd(rows), F.array("red", "green", "blue")))
+    parts = [df.select(F.col("image_id").alias("p_partkey"), F.lit(kind).alias("kind"), _listed(values).alias("numbers")) for kind, df, values in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def palette_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Palettes of as many entries as a part's size, read back entry by entry."""
+    entry = lambda i: F.struct((F.col("p_partkey") % 256).alias("r"), i.alias("g"), (F.col("p_size") + i).alias("b"))
+    content = F.concat(writer.signature(), writer.plte(F.transform(F.sequence(F.lit(1), F.col("p_size").cast("int")), entry)), writer.iend())
+    rows = png.palette(png.chunks(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), content.alias("content"))))
+    return rows.select(F.col("image_id").alias("p_partkey"), "entry", "r", "g", "b")
+
+
+def packed_text_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as zTXt records, which the package's own encoder packed, and an unknown chunk that is left alone."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("stream_id"), by.utf8(F.col("html")).alias("data"))
+    body = F.concat(writer.signature(), writer.chunk("quQu", F.unhex(F.lit("00"))), writer.ztxt(F.lit("Page"), F.col("data")), writer.iend())
+    rows = png.texts(png.chunks(encoder.encode_streams(pages).select(F.col("stream_id").alias("image_id"), body.alias("content"))))
+    return rows.select(F.col("image_id").alias("page_id"), "keyword", "text", "compressed", F.col("seq").cast("long").alias("place"))
+
+
+def unknown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.concat(writer.signature(), writer.chunk("quQu", by.utf8(F.col("n_name"))), writer.iend())
+    rows = png.undefined(png.chunks(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("image_id"), content.alias("content"))))
+    return rows.select(F.col("image_id").alias("n_nationkey"), "type", F.col("length").cast("long").alias("length"), "crc_ok", F.decode("data", "UTF-8").alias("name"))
+
+
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three samples a pixel; the last one of a row is filled up with zeros."""
     cells = raster(spark, sf_dir)
@@ -338,7 +411,7 @@ QUERIES: dict[str, Query] = {
         integer_functions, tag_lookup, length_code, distance_code, code_value_roundtrip, filter_scores, filter_choice, fixed_codes, canonical_codes, code_length_histogram,
         run_lengths, run_length_symbols, run_length_roundtrip, block_32k, lz77_roundtrip, lz77_tokens, lz77_coverage, adjacent_prefix_code, adjacent_kraft, encoded_bits, chunk_pack_parse,
         chunk_counts, chunk_report, idat_concat, text_record, time_record, number_records, image_headers, inflate_roundtrip, inflate_walk, rgb_swap, upscale, display_scale,
-        bytes_per_pixel, image_roundtrip,
+        bytes_per_pixel, image_roundtrip, deflate_own, deflate_own_walk, inflate_stored, symbol_kinds, color_records, palette_record, packed_text_record, unknown_chunks,
     )
 }
 for _name in filters.NAMES[1:]:
@@ -443,6 +516,18 @@ SELECT o_orderkey, width, height, bit_depth, color_type, CASE WHEN bit_depth < 8
     "bytes_per_pixel": """WITH k AS (SELECT DISTINCT p_size % 8 AS color_type, [1, 2, 4, 8, 16][p_partkey % 5 + 1] AS bit_depth FROM part),
 s AS (SELECT *, CASE color_type WHEN 0 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 6 THEN 4 END AS n FROM k)
 SELECT color_type, bit_depth, CASE WHEN n IS NULL THEN NULL WHEN bit_depth < 8 OR color_type = 3 THEN 0 ELSE n * bit_depth // 8 END AS bpp FROM s""",
+    "deflate_own": "SELECT conv_id * 1000 + turn AS stream_id, text, CAST(NULL AS VARCHAR) AS error FROM conversations",
+    "deflate_own_walk": """SELECT conv_id * 1000 + turn AS stream_id, greatest(1, (octet_length(encode(text)) + 32767) // 32768)::BIGINT AS blocks, 2 AS least_type, 2 AS most_type, true AS final,
+nullif(text, '') AS text FROM conversations""",
+    "inflate_stored": "SELECT p_partkey, p_name AS text, 0 AS type, CAST(octet_length(encode(p_name)) AS INT) AS n_tokens FROM part",
+    "symbol_kinds": "SELECT l_suppkey, count(*) FILTER (l_partkey % 300 < 256) AS literals, count(*) FILTER (l_partkey % 300 BETWEEN 257 AND 285) AS length_codes FROM lineitem GROUP BY l_suppkey",
+    "color_records": """SELECT p_partkey, 'cHRM' AS kind, array_to_string(list_transform(range(8), lambda k: p_partkey + k), ',') AS numbers FROM part
+UNION ALL SELECT p_partkey, 'hIST', concat_ws(',', p_size, p_partkey % 65536) FROM part UNION ALL SELECT p_partkey, 'sBIT', concat_ws(',', p_size % 8, p_size % 7, p_size % 6) FROM part
+UNION ALL SELECT p_partkey, 'bKGD', concat_ws(',', p_size, p_partkey % 65536, 3) FROM part""",
+    "palette_record": """SELECT p_partkey, CAST(i - 1 AS INT) AS entry, CAST(p_partkey % 256 AS INT) AS r, CAST(i AS INT) AS g, CAST(p_size + i AS INT) AS b
+FROM (SELECT p_partkey, p_size, unnest(range(1, p_size + 1)) AS i FROM part)""",
+    "packed_text_record": "SELECT page_id, 'Page' AS keyword, html AS text, true AS compressed, 1::BIGINT AS place FROM pages",
+    "unknown_chunks": "SELECT n_nationkey, 'quQu' AS type, octet_length(encode(n_name)) AS length, true AS crc_ok, n_name AS name FROM nation",
     "image_roundtrip": f"WITH {RASTER_SQL} SELECT image_id, y, i, x FROM px",
 }
 for _name in filters.NAMES[1:]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import bytes as by
 from chunkloom.functions import dims
-from chunkloom.operators import deflate, filters, lz77, pixels, symbols
+from chunkloom.operators import deflate, encoder, filters, lz77, pixels, symbols
 from chunkloom.plans import analysis
 from chunkloom.plans.decode import decode, image_status, show
 from chunkloom.plans.encode import encode
@@ -308,3 +308,42 @@ def test_bad_distance_is_an_error_row(spark):
     tokens = spark.createDataFrame(rows, "stream_id long, block_no int, seq int, pos int, lit int, len int, dist int")
     got = {r.stream_id: r for r in lz77.expand_tokens(tokens).collect()}
     assert bytes(got[1].data) == b"aaaaa" and got[1].error is None and got[2].data is None and "before the start" in got[2].error
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.binary(max_size=400), st.text("ab ", max_size=3000).map(str.encode)))
+def test_own_streams_inflate(data):
+    stream = encoder.zlib_stream(data, block=1000)
+    assert zlib.decompress(stream) == data
+    parts = list(deflate.walk(stream))
+    assert {p[2] for p in parts} == {2} and [p[1] for p in parts] == [False] * (len(parts) - 1) + [True]
+
+
+def test_own_streams_of_awkward_data(spark):
+    skewed = bytes(v for k in range(24) for v in [k] * min(2**k, 4000))  # unlimited codes would have over 15 bits
+    rows = [(1, b""), (2, b"a" * 200_000), (3, bytes(range(256)) * 300), (4, skewed), (5, None), (5, b"again"), (None, b"no id")]
+    made = encoder.encode_streams(spark.createDataFrame(rows, "stream_id long, data binary")).collect()
+    assert sorted((str(r.stream_id), None if r.data is None else zlib.decompress(bytes(r.data))) for r in made if r.data) == sorted((str(i), d) for i, d in rows if d is not None)
+    assert [r.stream_id for r in made if r.data is None] == [5]
+    assert encoder.encode_streams(spark.createDataFrame([], "stream_id long, data binary")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 10**6), min_size=2, max_size=100))
+def test_limited_lengths(frequency):
+    lengths = encoder.limited_lengths(np.array(frequency), 7)
+    used = np.array(frequency) > 0
+    assert ((lengths > 0) == used).all() and lengths.max() <= 7
+    if used.sum() > 1:
+        assert (2.0 ** -lengths[used]).sum() == 1
+        order = np.argsort(np.array(frequency)[used], kind="stable")
+        assert (np.diff(lengths[used][order]) <= 0).all() or len(set(frequency)) < len(frequency)
+
+
+def test_orders_and_dictionary(spark):
+    bins = spark.createDataFrame([(3, 5), (1, 5), (2, 9)], "value int, frequency long")
+    assert [r.value for r in symbols.by_value(bins).collect()] == [1, 2, 3]
+    assert [r.value for r in symbols.by_frequency(bins).collect()] == [2, 1, 3]
+    matches = spark.createDataFrame([(1, 0, 7, 5, 4)], "stream_id long, block_no int, pos int, len int, dist int")
+    places = spark.createDataFrame([(1, 0, 7), (1, 0, 8)], "stream_id long, block_no int, pos int")
+    assert sorted((r.pos, r.len) for r in lz77.in_dictionary(matches, places).collect()) == [(7, 5), (8, None)]
