@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,7 +91,7 @@ def symbol_stream(token_rows: DataFrame) -> DataFrame:
     return both.unionByName(dist).unionByName(end)
 
 
-def expand(found: list[tuple[int | None, int | None, int | None]], history: bytes = b"") -> bytes:
+def expand(found: Iterable[tuple[int | None, int | None, int | None]], history: bytes = b"") -> bytes:
     """Bytes of tokens (literal, length, distance); a match may overlap itself and reach into the history."""
     out = bytearray(history)
     for lit, length, dist in found:
@@ -112,7 +112,7 @@ def expand_tokens(token_rows: DataFrame, chained: bool = False) -> DataFrame:
 
     Tokens that cannot be expanded give no data but an error, and leave other streams alone.
 
-    A block's tokens (at most BLOCK of them) are gathered in one row; with chained, a stream's.
+    A block's tokens (at most BLOCK of them) are gathered in one row; with chained, a stream's. One row at a time becomes Python objects.
     """
     keys = ["stream_id"] if chained else ["stream_id", "block_no"]
     order = F.struct("block_no", "seq", "lit", "len", "dist")
@@ -122,9 +122,9 @@ def expand_tokens(token_rows: DataFrame, chained: bool = False) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, errors = [], []
-            for t in batch.column(2).to_pylist():
+            for t in batch.column(2):
                 try:
-                    data.append(expand([(x["lit"], x["len"], x["dist"]) for x in t]))
+                    data.append(expand(zip(*(t.values.field(name).to_pylist() for name in ("lit", "len", "dist")), strict=True)))
                     errors.append(None)
                 except ValueError as e:
                     data.append(None)

@@ -301,11 +301,10 @@ def deflate_own(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deflate_own_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns through the encoder, decoded bit by bit: dynamic blocks, their tokens expanded."""
-    streams = encoder.encode_streams(_turns(spark, sf_dir))
-    blocks = deflate.inflate_blocks(streams).groupBy("stream_id").agg(F.count("*").alias("blocks"), F.min("type").alias("least_type"), F.max("type").alias("most_type"), F.bool_or("final").alias("final"))
-    text = lz77.expand_tokens(deflate.inflate_tokens(streams), chained=True).select("stream_id", F.decode("data", "UTF-8").alias("text"))
-    return blocks.join(text, "stream_id", "left")
+    """Turns through the encoder, decoded bit by bit: dynamic blocks, their tokens expanded. A null turn is an empty stream, as in the SQL."""
+    turns = _turns(spark, sf_dir).withColumn("data", F.coalesce("data", F.lit(b"")))
+    back = deflate.inflate_streams(encoder.encode_streams(turns))
+    return back.select("stream_id", "blocks", "least_type", "most_type", "final", F.nullif(F.decode("data", "UTF-8"), F.lit("")).alias("text"))
 
 
 def inflate_stored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions import bytes as by
 from chunkloom.functions import dims
 from chunkloom.operators import deflate, encoder, filters, lz77, pixels, symbols
-from chunkloom.plans import analysis
+from chunkloom.plans import analysis, queries
 from chunkloom.plans.decode import decode, image_status, show
 from chunkloom.plans.encode import encode
 from chunkloom.sources import bmp, png, writer
@@ -347,3 +348,36 @@ def test_orders_and_dictionary(spark):
     matches = spark.createDataFrame([(1, 0, 7, 5, 4)], "stream_id long, block_no int, pos int, len int, dist int")
     places = spark.createDataFrame([(1, 0, 7), (1, 0, 8)], "stream_id long, block_no int, pos int")
     assert sorted((r.pos, r.len) for r in lz77.in_dictionary(matches, places).collect()) == [(7, 5), (8, None)]
+
+
+def test_streams_are_walked_row_by_row(spark):
+    """Repeated and missing ids, several blocks, matches into earlier blocks, damage: one row each, and nothing is shuffled."""
+    random.seed(5)
+    long = bytes(random.choice(b"aabbbcde") for _ in range(5000)) * 40
+    texts = [(1, b"one one one one"), (1, b"another of that id"), (None, b"no id"), (2, long), (3, b"")]
+    rows = [(i, bytearray(zlib.compress(d))) for i, d in texts] + [(4, bytearray(zlib.compress(long)[:-900])), (5, None)]
+    df = deflate.inflate_streams(spark.createDataFrame(rows, "stream_id long, data binary"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = df.collect()
+    assert sorted((str(r.stream_id), bytes(r.data)) for r in got if r.data is not None) == sorted((str(i), d) for i, d in texts)
+    assert {r.stream_id for r in got if r.error} == {4, 5} and all(r.final and r.blocks >= 1 for r in got if not r.error)
+    assert {r.blocks for r in got if r.stream_id == 2} == {len(list(deflate.walk(zlib.compress(long))))}
+
+
+def test_own_walk_of_odd_turns_is_as_in_sql(spark, tmp_path):
+    """Turns that share an id or have none, are null, empty, or of several blocks."""
+    rows = "(1, 2, 'first first first'), (1, 2, 'second'), (1, 1002, 'x'), (2, 2, 'y'), (3, 1, NULL), (3, 2, ''), (NULL, 1, 'no id'), (4, 1, repeat('äbc ', 20000))"
+    duckdb.sql(f"COPY (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, 'user' AS role, text FROM (VALUES {rows}) t(conv_id, turn, text)) TO '{tmp_path}/conversations.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet'")
+    expected = con.sql(queries.ORACLES["deflate_own_walk"]).fetchall()
+    assert sorted(map(str, map(tuple, queries.QUERIES["deflate_own_walk"](spark, str(tmp_path)).collect()))) == sorted(map(str, expected))
+
+
+def test_codes_are_shortest_and_streams_join_at_any_bit():
+    """Huffman's merges where they fit the limit, package-merge where not; blocks that end inside a byte."""
+    assert encoder.limited_lengths(np.array([1, 1, 2, 4, 8]), 15).tolist() == [4, 4, 3, 2, 1]
+    assert encoder.limited_lengths(np.array([1, 1, 2, 4, 8]), 3).tolist() == [3, 3, 3, 3, 1]
+    data = bytes(range(256)) * 3 + b"abcabcabcabc" * 50
+    for block in (1, 7, 100, 5000):
+        assert zlib.decompress(encoder.zlib_stream(data[:1300], block)) == data[:1300]
