@@ -172,10 +172,20 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> M
     return machine
 
 
+def sent_features(ids: np.ndarray, values: np.ndarray) -> bytes:
+    """Feature ids and values of a row as a task sends them, lossless and in order: first bytes, then second bytes and so on, compressed."""
+    return zlib.compress(np.stack([ids.view(np.float32), values]).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def received_features(sent: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(zlib.decompress(sent), np.uint8).reshape(4, -1).T).reshape(2, -1)
+    return both[0].view(np.int32), both[1].view(np.float32)
+
+
 def train(documents: DataFrame, labels: DataFrame, settings: Settings | None = None, max_rows_per_class: int | None = None) -> Machine:
     """Fit on a bounded sample of labelled rows (classifier_data.MAX_ROWS_PER_CLASS of each class).
 
-    Executors turn texts into feature ids, so the driver receives 8 bytes for each distinct word of the sampled rows, never texts.
+    Executors turn texts into feature ids, so the driver receives some three bytes for each distinct word of the sampled rows, never texts.
     """
     settings = settings or Settings()
     sample = labelled_sample(documents, labels, "quality", *([max_rows_per_class] if max_rows_per_class else []))
@@ -183,15 +193,13 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings | None = N
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings)
         for batch in batches:
-            got = [features.of(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), batch.column(2), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())],
-                ["doc_id", "y", "ids", "vals"],
-            )
-
-    rows = sample.select("doc_id", "text", "y").mapInArrow(featurise, "doc_id string, y int, ids binary, vals binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(r.doc_id.encode()), r.doc_id, r.y, bytes(r.ids)))
-    return fit([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32), r.y) for r in rows], settings)
+            got = [sent_features(*features.of(t or "")) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(got, pa.binary())], ["doc_id", "y", "sent"])
+
+    rows = sample.select("doc_id", "text", "y").mapInArrow(featurise, "doc_id string, y int, sent binary").collect()
+    known = [(r.doc_id, r.y, *received_features(bytes(r.sent))) for r in rows]
+    known.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0], r[1], r[2].tobytes()))
+    return fit([(ids, values, y) for _, y, ids, values in known], settings)
 
 
 def portions(texts: list[str | None]) -> Iterator[list[str | None]]:

@@ -410,3 +410,15 @@ def test_sets_of_shingles_are_those_of_the_words():
     many = np.random.default_rng(1).integers(0, 1 << 63, 40_000, np.uint64)
     bits = np.unpackbits(many.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     assert simhash.majority(many) == sum(1 << i for i in range(64) if 2 * bits[i] > len(many))
+
+
+def test_features_reach_the_driver_small_and_unchanged():
+    """A text of 20,000 unlike words: what is sent is under half of eight bytes a word, and nothing of it is lost."""
+    text = " ".join(f"w{i * 7919}" for i in range(20_000)) + " again" * 50
+    ids, values = quality.Features(quality.Settings()).of(text)
+    sent = quality.sent_features(ids, values)
+    back = quality.received_features(sent)
+    assert len(sent) < 4 * len(ids)
+    assert (back[0] == ids).all() and (back[1] == values).all() and back[0].dtype == ids.dtype and back[1].dtype == values.dtype
+    empty = quality.Features(quality.Settings()).of("")
+    assert all((x == y).all() for x, y in zip(quality.received_features(quality.sent_features(*empty)), empty))
