@@ -15,6 +15,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that the Parquet reader and a batch to Python hold at once where whole texts pass. Spark's own 4,096 and 10,000 count rows, not bytes:
+#: some 10 to 200 MB of texts or blobs in arrays of one piece, for which an executor's heap grows and never shrinks while it is busy.
+ROWS_AT_ONCE = 256
+_BATCHES = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def in_small_batches(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one, but at most ROWS_AT_ONCE rows in a batch. The caller's own keeps its settings."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.get(key, None) != value:
+            own.conf.set(key, value)
+    for key in _BATCHES:
+        known = int(spark.conf.get(key))
+        own.conf.set(key, min(known, ROWS_AT_ONCE) if known > 0 else ROWS_AT_ONCE)  # none or fewer: no bound
+    return own
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for what outlives a stage: the one that the cluster names in spark.checkpoint.dir.
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import ann, bpe, fingerprints, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
-from chunkloom.llm.common import read_table
+from chunkloom.llm.common import in_small_batches, read_table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_digests(read_table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_digests(read_table(in_small_batches(spark), sf_dir, "documents"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chunkloom.llm import bpe, fingerprints, packing, queries, sharding, simhash, suffix_dedup, url_filter
+from chunkloom.llm import bpe, common, fingerprints, packing, queries, sharding, simhash, suffix_dedup, url_filter
 from tests.llm.conftest import sentence
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +24,40 @@ def clashing(df):
     return df.withColumns({n: F.lit("x") for n in names})
 
 
+# --- rows held at once ---
+
+
+SMALL_BATCHES = ["op1_suffix_dedup"]
+
+
+def most_rows_in_a_batch(spark):
+    """Of 2,000 rows in one partition that are passed to Python."""
+    counts = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["rows"]) for b in batches)
+    return max(r.rows for r in spark.range(0, 2000, 1, 1).mapInArrow(counts, "rows long").collect())
+
+
+@pytest.mark.parametrize("name", SMALL_BATCHES)
+def test_whole_texts_pass_in_small_batches(spark, sf_dir, name):
+    own = queries.queries()[name](spark, sf_dir).sparkSession
+    assert most_rows_in_a_batch(own) == common.ROWS_AT_ONCE and most_rows_in_a_batch(spark) == 2000
+    assert int(own.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == common.ROWS_AT_ONCE
+
+
+def test_small_batches_keep_other_settings(spark):
+    keys = {"spark.sql.shuffle.partitions": "7", "spark.hadoop.some.store": "x", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        own = common.in_small_batches(spark)
+        assert {k: own.conf.get(k) for k in keys} == keys and most_rows_in_a_batch(own) == 50
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")  # no bound
+        assert most_rows_in_a_batch(common.in_small_batches(spark)) == common.ROWS_AT_ONCE
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 # --- suffix array ---
 
 
