@@ -15,8 +15,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that the Parquet reader and a batch to Python hold at once where whole texts pass. Spark's own 4,096 and 10,000 count rows, not bytes:
-#: some 10 to 200 MB of texts or blobs in arrays of one piece, for which an executor's heap grows and never shrinks while it is busy.
+#: Rows that the Parquet reader and a batch to Python hold at once where whole texts pass. Spark's own 4,096 and 10,000 count rows, not bytes,
+#: so that most of a partition's texts lie in arrays of one piece.
 ROWS_AT_ONCE = 256
 _BATCHES = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
 

@@ -27,7 +27,7 @@ def clashing(df):
 # --- rows held at once ---
 
 
-SMALL_BATCHES = ["op1_suffix_dedup"]
+SMALL_BATCHES = ["op1_suffix_dedup", "op3_quality"]
 
 
 def most_rows_in_a_batch(spark):
