@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,21 +19,50 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows that the Parquet reader and a batch to Python hold at once where whole texts pass. Spark's own 4,096 and 10,000 count rows, not bytes,
 #: so that most of a partition's texts lie in arrays of one piece.
 ROWS_AT_ONCE = 256
-_BATCHES = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+#: Bytes that a batch to Python holds (but for a longer row) where narrow rows pass by the million beside whole texts.
+BYTES_AT_ONCE = 1 << 20
+_READ_ROWS, _SENT_ROWS, _SENT_BYTES = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def in_small_batches(spark: SparkSession) -> SparkSession:
-    """A session with the settings of this one, but at most ROWS_AT_ONCE rows in a batch. The caller's own keeps its settings."""
+def _amount(value: str) -> int:
+    """A number of rows, or of bytes with or without a unit."""
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", value.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit[:1] or "b")
+
+
+def _own_session(spark: SparkSession, bounds: dict[str, int]) -> SparkSession:
+    """A session with the settings of this one, but for these bounds. The caller's own keeps its settings."""
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if own.conf.get(key, None) != value:
             own.conf.set(key, value)
-    for key in _BATCHES:
-        known = int(spark.conf.get(key))
-        own.conf.set(key, min(known, ROWS_AT_ONCE) if known > 0 else ROWS_AT_ONCE)  # none or fewer: no bound
+    for key, most in bounds.items():
+        known = _amount(spark.conf.get(key))
+        own.conf.set(key, min(known, most) if known > 0 else most)  # none or fewer: no bound
     return own
 
 
+def in_small_batches(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one, but at most ROWS_AT_ONCE rows in a batch."""
+    return _own_session(spark, {_READ_ROWS: ROWS_AT_ONCE, _SENT_ROWS: ROWS_AT_ONCE})
+
+
+def few_bytes_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one, but at most ROWS_AT_ONCE rows read and BYTES_AT_ONCE bytes sent to Python at once."""
+    return _own_session(spark, {_READ_ROWS: ROWS_AT_ONCE, _SENT_BYTES: BYTES_AT_ONCE})
+
+
+def in_few_bytes(docs: DataFrame) -> DataFrame:
+    """docs in a few_bytes_session. Files that docs themselves read are read as their former session reads them."""
+    own = few_bytes_session(docs.sparkSession)
+    name = f"docs_{uuid.uuid4().hex}"
+    docs.where(F.lit(True)).createOrReplaceGlobalTempView(name)  # of docs' own plan, dropping the view would drop what is cached
+    try:
+        return own.table(f"{own.conf.get('spark.sql.globalTempDatabase')}.{name}")
+    finally:
+        own.catalog.dropGlobalTempView(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for what outlives a stage: the one that the cluster names in spark.checkpoint.dir.
 

@@ -3,11 +3,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chunkloom.llm import ann, quality, queries, simhash, toxicity
+from chunkloom.llm import ann, common, quality, queries, simhash, toxicity
 from chunkloom.llm.classifier_data import labelled_sample
 from tests.llm.conftest import DOCS, sentence
 
@@ -260,6 +261,36 @@ def test_stage_names_and_order():
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["drop_toxic", "drop_low_quality", "drop_near_copies", "drop_repeats", "pack"]
 
 
+def largest_batch(spark):
+    """Bytes, of 400 rows of 20,000 in one partition that are passed to Python."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"]) for b in batches)
+    return max(r.n for r in spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 20_000)).mapInArrow(sizes, "n long").collect())
+
+
+def test_stages_pass_few_bytes_at_once(spark, docs, sf_dir):
+    cached = docs.select(*corpus_pipeline.COLUMNS).cache()
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            own = stage(spark, cached, sf_dir).sparkSession
+            assert largest_batch(own) <= common.BYTES_AT_ONCE + 100_000 < 8_000_000 <= largest_batch(spark)
+            assert int(own.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == common.ROWS_AT_ONCE
+            assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+            assert cached.is_cached and cached.storageLevel.useMemory
+    finally:
+        cached.unpersist()
+
+
+def test_smaller_bounds_of_the_caller_stay(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for value, least, most in (("100k", 0, 160_000), ("2m", 900_000, common.BYTES_AT_ONCE + 100_000)):
+            spark.conf.set(key, value)
+            assert least < largest_batch(common.in_few_bytes(spark.range(3)).sparkSession) <= most
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_stages_against_plain_python(spark, sf_dir, tmp_path):
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     toxic = {r.doc_id for r in queries.op9_toxicity(spark, sf_dir).collect() if r.predicted}
